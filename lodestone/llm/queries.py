@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe_automaton, secret_scan
+from lodestone.llm import bpe_automaton, html_diff, mixing, quality, secret_scan, sharding
 
 QUERIES = {
+    "op1_html_diff": html_diff.op1,
+    "op2_quality_llr": quality.op2,
+    "op4_pfair_mix": mixing.op4,
+    "op5_shard_table": sharding.op5,
     "op6_bpe_automaton": bpe_automaton.op6,
     "op7_secret_entropy": secret_scan.op7,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_pfair_mix": mixing.ORACLE,
+    "op5_shard_table": sharding.ORACLE,
+}
