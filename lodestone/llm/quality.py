@@ -54,7 +54,7 @@ def blocks(raw: list[bytes]) -> Iterator[list[int]]:
 
 def bucket_counts(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket, raw, target): how often the texts of all documents, and of those whose id is in good, hold n-grams of each bucket. Each task sums up before the shuffle."""
-    good = good.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_good", F.lit(True))
+    good = good.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_good", F.lit(True)).hint("merge")  # labels grow with the corpus: one plan at every size
     rows = docs.select(F.col(id_col).alias("_of"), F.col(text_col).cast("string").alias("_text")).join(good, F.col("_of") == F.col("_id"), "left").select("_text", F.coalesce("_good", F.lit(False)).alias("_good"))
     schema = pa.schema([("bucket", pa.int64()), ("raw", pa.int64()), ("target", pa.int64())])
 
