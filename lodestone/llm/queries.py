@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bottom_k, bpe_automaton, html_diff, mixing, quality, repeats, secret_scan, sharding
+from lodestone.llm import bottom_k, bpe_automaton, html_diff, lattice, mixing, quality, repeats, secret_scan, sharding
 
 QUERIES = {
     "op1_html_diff": html_diff.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_secret_entropy": secret_scan.op7,
     "op8_repeat_tree": repeats.op8,
     "op9_bottom_k": bottom_k.op9,
+    "op10_lattice": lattice.op10,
 }
 ORACLES: dict[str, str] = {
     "op4_pfair_mix": mixing.ORACLE,
