@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bottom_k, bpe_automaton, html_diff, lattice, mixing, quality, repeats, secret_scan, sharding
+from lodestone.llm import bottom_k, bpe_automaton, html_diff, lattice, mixing, quality, repeats, secret_scan, sharding, toxicity
 
 QUERIES = {
     "op1_html_diff": html_diff.op1,
     "op2_quality_llr": quality.op2,
+    "op3_toxicity_gru": toxicity.op3,
     "op4_pfair_mix": mixing.op4,
     "op5_shard_table": sharding.op5,
     "op6_bpe_automaton": bpe_automaton.op6,
