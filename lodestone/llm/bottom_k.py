@@ -123,7 +123,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows of all but the smallest id of each group; null ids stay."""
     gone = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

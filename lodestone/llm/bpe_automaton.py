@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batch, map_rows, table, texts_of
+from lodestone.llm.common import batch, free_names, map_rows, table, texts_of
 
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Distinct words whose encodings a worker remembers; then it forgets all and starts again. No word is left out.
@@ -317,6 +317,22 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return map_rows(_source(docs, id_col, text_col), run, DIGEST)
 
 
+def encoded_in_order(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """docs with n_tokens and ids for the text, and the place of each row in its input files: their order (file, block, row) is that of the rows as written. Names that docs has get underscores."""
+    n_name, ids_name, file_name, block_name, row_name = free_names(docs, "n_tokens", "ids", "file", "block", "row")
+    placed = docs.withColumns({file_name: F.element_at(F.split(F.input_file_name(), "/"), -1), block_name: F.input_file_block_start(), row_name: F.monotonically_increasing_id()})
+    others = [c for c in placed.columns if c != text_col]
+    schema = placed.select(*others, F.lit(0).cast("long").alias(n_name), F.array(F.lit(0)).alias(ids_name)).schema
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = [[m[0] for m in e] for e in _encoder(path).batches(texts_of(b.column(text_col)))]
+        ids = [np.fromstring(",".join(f), np.int32, sep=",") if f else np.zeros(0, np.int32) for f in found]
+        columns = [b.column(c) for c in others] + [pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, names=[*others, n_name, ids_name])
+
+    return map_rows(placed, run, schema)
+
+
 def default_path() -> str:
     import public_tokenizers
 

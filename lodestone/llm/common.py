@@ -55,3 +55,14 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def texts_of(column: pa.Array) -> list[str]:
     """Texts with null as empty."""
     return ["" if t is None else t for t in column.to_pylist()]
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out

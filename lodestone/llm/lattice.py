@@ -273,7 +273,7 @@ def _invalid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicated(rows: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """rows without those of all but the smallest id of each component; null ids stay."""
     gone = near_duplicates(rows, cosine, id_col, vector_col, label_col).where("not kept").select(F.col("vec_id").alias("_gone")).distinct()
-    return rows.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return rows.join(gone, rows[id_col] == gone["_gone"], "left_anti")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

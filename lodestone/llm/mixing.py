@@ -11,7 +11,7 @@ Rows are numbered within a source in order of md5(id), then id, then a hash of t
 hex digits cut even the largest source into PREFIX ** 16 groups; a group's first number is the sum of the groups before it.
 
 Defined results: a null source is a source of its own, first in order; a null id is hashed as ''; rows with equal ids
-follow each other; an empty table gives an empty result; further columns are kept by ``mix`` and ignored by ``schedule``.
+follow each other; an empty table gives an empty result; further columns, whatever their names, are kept by ``mix`` and ignored by ``schedule``.
 """
 
 from __future__ import annotations
@@ -77,8 +77,9 @@ def schedule(docs: DataFrame, weights: dict[str, int] | None = None, block: int
 
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs in the mixed order: partitions and the rows within them follow the schedule, and so do the files written from it."""
-    out = scheduled(docs, weights, block, id_col, source_col, text_col)
-    return out.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place").select(docs.columns)
+    whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))  # whatever other columns are called
+    out = scheduled(whole, weights, block, "id", "source", "text")
+    return out.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place").select("doc.*")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import free_names, table
 
 SLOTS, SHARDS = 2039, 16
 
@@ -35,17 +35,17 @@ def lookup(spark: SparkSession, shards: int = SHARDS, slots: int = SLOTS) -> Dat
 
 
 def place(rows: DataFrame, key_col: str, shards: int = SHARDS, slots: int = SLOTS, slot_name: str = "slot", shard_name: str = "shard") -> DataFrame:
-    """rows with the slot and the shard of each key; names that rows has already are an error."""
-    if {slot_name, shard_name} & set(rows.columns):
-        raise ValueError("rows has a column of that name: choose slot_name and shard_name")
+    """rows with the slot and the shard of each key; names that rows has already get underscores."""
+    slot_name, shard_name = free_names(rows, slot_name, shard_name)
     n = F.conv(F.substring(F.md5(F.coalesce(F.col(key_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
-    found = lookup(rows.sparkSession, shards, slots)
-    return rows.withColumn("_slot_of", n % slots).join(F.broadcast(found), F.col("_slot_of") == F.col("_slot")).withColumnsRenamed({"_slot": slot_name, "_shard": shard_name}).drop("_slot_of")
+    keyed = rows.select(F.struct("*").alias("row"), (n % slots).alias("_slot_of"))
+    return keyed.join(F.broadcast(lookup(rows.sparkSession, shards, slots)), F.col("_slot_of") == F.col("_slot")).select("row.*", F.col("_slot").alias(slot_name), F.col("_shard").alias(shard_name))
 
 
 def write(rows: DataFrame, key_col: str, path: str, shards: int = SHARDS, slots: int = SLOTS) -> None:
     """Parquet under path, a folder a shard."""
-    place(rows, key_col, shards, slots).drop("slot").write.partitionBy("shard").parquet(path)
+    slot_name, shard_name = free_names(rows, "slot", "shard")
+    place(rows, key_col, shards, slots).drop(slot_name).write.partitionBy(shard_name).parquet(path)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
