@@ -92,7 +92,7 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     """(doc_id, n, rep) of every row, and (id, component) of every representative that has a link."""
     own = stored(sketches(docs, words, id_col, text_col), "sketches")
     reps = own.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    members = own.select("doc_id", "n", "print").join(reps, "print", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    members = own.select("doc_id", "n", "print").join(reps, "print", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     small = stored(own.join(reps.select(F.col("print").alias("_p"), "rep"), (F.col("print") == F.col("_p")) & (F.col("doc_id") == F.col("rep"))).select("doc_id", "n", "print", "sketch").dropDuplicates(["doc_id", "print"]).drop("print"), "representatives")
     listed = stored(_lists(small), "lists")
     listed = listed.join(listed.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id"), "id", "left_semi")
