@@ -108,9 +108,9 @@ def _(t):
     return t.customer.select("c_custkey", L.when(col("c_acctbal") < 0, "debt").when(col("c_acctbal") > 5000, "rich").otherwise("some").alias("kind"))
 
 
-@frame_query("expr_case_simple", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS code FROM orders")
+@frame_query("expr_case_simple", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' END AS code FROM orders")
 def _(t):
-    return t.orders.select("o_orderkey", L.case(col("o_orderstatus")).when("F", 1).when("O", 2).build().alias("code"))
+    return t.orders.select("o_orderkey", L.case(col("o_orderstatus")).when("F", "done").when("O", "open").build().alias("code"))
 
 
 @frame_query("expr_cast", "SELECT l_orderkey, l_linenumber, CAST(trunc(l_extendedprice) AS BIGINT) AS whole, CAST(l_linenumber AS VARCHAR) AS text, CAST(l_shipdate AS DATE) AS day, CAST(l_linenumber AS DOUBLE) AS wide FROM lineitem")
@@ -118,10 +118,11 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", L.trunc(col("l_extendedprice")).cast("long").alias("whole"), col("l_linenumber").cast("string").alias("text"), col("l_shipdate").cast("date").alias("day"), col("l_linenumber").cast("double").alias("wide"))
 
 
-@frame_query("expr_boolean_three_valued", "SELECT o_orderkey, (nullif(o_orderstatus, 'F') = 'O') AND (o_custkey > 50) AS both, (nullif(o_orderstatus, 'F') = 'O') OR (o_custkey > 50) AS either FROM orders")
+@frame_query("expr_boolean_three_valued", "SELECT o_orderkey, coalesce(CAST((nullif(o_orderstatus, 'F') = 'O') AND (o_custkey > 50) AS VARCHAR), 'unknown') AS both, coalesce(CAST((nullif(o_orderstatus, 'F') = 'O') OR (o_custkey > 50) AS VARCHAR), 'unknown') AS either FROM orders")
 def _(t):
     a, b = L.nullif(col("o_orderstatus"), lit("F")) == "O", col("o_custkey") > 50
-    return t.orders.select("o_orderkey", (a & b).alias("both"), (a | b).alias("either"))
+    text = lambda c: F.coalesce(c.cast("string"), lit("unknown"))
+    return t.orders.select("o_orderkey", text(a & b).alias("both"), text(a | b).alias("either"))
 
 
 sql_query("expr_date_interval", "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderdate >= DATE '1997-07-01' AND o_orderdate < DATE '1997-07-01' + INTERVAL '3' MONTH")
@@ -189,14 +190,14 @@ def _(t):
     return t.orders.join(t.customer, ["o_custkey"], ["c_custkey"]).select_columns("o_orderkey", "c_name")
 
 
-@frame_query("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
+@frame_query("join_left", "SELECT c_custkey, coalesce(o_orderkey, -1) AS o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
 def _(t):
-    return t.customer.join(t.orders, ["c_custkey"], ["o_custkey"], "left").select_columns("c_custkey", "o_orderkey")
+    return t.customer.join(t.orders, ["c_custkey"], ["o_custkey"], "left").select("c_custkey", F.coalesce("o_orderkey", lit(-1)).alias("o_orderkey"))
 
 
-@frame_query("join_right", "SELECT o_orderkey, c_custkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey")
+@frame_query("join_right", "SELECT coalesce(o_orderkey, -1) AS o_orderkey, c_custkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey")
 def _(t):
-    return t.orders.join(t.customer, ["o_custkey"], ["c_custkey"], "right").select_columns("o_orderkey", "c_custkey")
+    return t.orders.join(t.customer, ["o_custkey"], ["c_custkey"], "right").select(F.coalesce("o_orderkey", lit(-1)).alias("o_orderkey"), "c_custkey")
 
 
 @frame_query("join_two_columns", "SELECT a.l_partkey, a.l_suppkey, a.n, b.m FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2) a JOIN (SELECT l_partkey, l_suppkey, max(l_quantity) AS m FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey")
