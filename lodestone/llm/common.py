@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space of the word definition [^\x20\x09-\x0D]+.
 SPACES = " \t\n\x0b\x0c\r"
+#: Rows of an Arrow batch that are Python objects at any one time.
+ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,15 +37,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn on every Arrow batch of df."""
+    """fn on every Arrow batch of df, ROWS rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = fn(b)
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            elif out is not None:
-                yield from out
+            for i in range(0, b.num_rows, ROWS):
+                out = fn(b.slice(i, ROWS))
+                if isinstance(out, pa.RecordBatch):
+                    yield out
+                elif out is not None:
+                    yield from out
 
     return df.mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ BUCKETS, GRAM = 1 << 16, 4
 #: Least mean log ratio of a text that is kept.
 THRESHOLD = -0.5
 #: At most this many characters are hashed at once.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 
 
 def hashes(raw: bytes) -> np.ndarray:

@@ -33,7 +33,7 @@ from lodestone.llm.common import stored, table, texts_of
 from lodestone.llm.shingles import _powers, mixed
 
 LENGTH, GRAM = 100, 24
-BLOCK = 4_000_000
+BLOCK = 1_500_000
 #: Regions of one anchor in a block of one task beyond which they go string by string, and in all.
 MANY, LIMIT = 8, 2000
 #: States of a region; of a CROWD's anchor all regions are to go string by string.

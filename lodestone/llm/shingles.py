@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
