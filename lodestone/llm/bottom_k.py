@@ -1,16 +1,21 @@
 """MinHash near-dedup: bottom-k sketches from one hash function.
 
 Documents with equal shingle sets form a class and only its representative goes on. A sketch holds the K smallest hash
-values of a set. Inverted lists of retained values generate overlaps: values that more than HOT representatives retain
-go last in the common order of all values, and a representative is listed under its first KEYS values of that order.
-Where hot values are among these, which takes a set that common passages or a large family of near copies make up
-almost alone, it is listed under all hot values that it retains. A pair of Jaccard similarity 0.8 misses any one common value with 0.2, so that it shares fewer than two of
-12 keys with a probability under 2e-7. Pairs with two common keys are candidates; the sketch of the union estimates
-their similarity and filters, and the full sets decide.
+values of a set. Inverted lists of retained values generate overlaps, in two ways.
 
-Candidates are not all pairs of a list. First each member meets the smallest of its list alone; verified links give
-components; then members outside the component of the smallest meet all members of other components. A pair left out
-joins documents that are connected already, so components are those of all links.
+Values that at most HOT representatives retain are cold: a representative is listed under its first KEYS cold values, in
+one order of all values. Pairs with two common lists are candidates; the sketch of the union estimates their
+similarity and filters, and the full sets decide. Candidates are not all pairs of a list: first each member meets the
+smallest of its list alone; verified links give components; then members outside the component of the smallest meet
+the members of other components. A pair left out joins documents that are connected already.
+
+A representative with fewer than ENOUGH cold values (common passages or a large family of near copies make up most of
+it) is also listed under its first HOT_KEYS hot values. Such a list may hold a great part of all documents: it is cut
+into chunks of about CHUNK members, every two chunks are a unit, and a unit compares the full sets of its members as a
+matrix product. What leaves it are the stars of its local components, never pairs.
+
+A pair of similarity 0.8 misses any one common value with 0.2. With ENOUGH cold values on both sides it shares fewer
+than two of KEYS with a probability under 1e-4, with fewer of them no hot list with one under 1e-5.
 
 Defined results: a null or empty text has an empty set, is linked with nothing and is kept; repeated ids count as one
 document with the union of links (the row count stays that of the input); an empty table gives an empty result; other
@@ -26,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batch, map_rows, stored, table, texts_of
-from lodestone.llm.components import components
+from lodestone.llm.common import ROWS, batch, map_rows, stored, table, texts_of
+from lodestone.llm.components import components, stars
 from lodestone.llm.shingles import sets
 
-K, KEYS, HOT = 40, 12, 64
+K, KEYS, HOT, ENOUGH, HOT_KEYS, CHUNK = 40, 12, 64, 24, 8, 256
 #: Least estimate that is verified: over six deviations below 0.8 at K values.
 LEAST = 0.4
 
@@ -80,12 +85,63 @@ def _estimated(pairs: DataFrame, small: DataFrame, percent: int) -> DataFrame:
 
 
 def _lists(small: DataFrame) -> DataFrame:
-    """(v, id): the inverted lists of two members or more."""
+    """(v, id, hot): the inverted lists of two members or more."""
     values = small.select(F.col("doc_id").alias("id"), F.explode("sketch").alias("v"))
     count = values.groupBy("v").agg(F.count("*").alias("c"))
-    ordered = values.join(count, "v").groupBy("id").agg(F.array_sort(F.collect_list(F.struct((F.col("c") > HOT).alias("hot"), F.expr("v ^ (-9223372036854775807L - 1)").alias("o"), "v", "c"))).alias("s"))
-    mine = F.expr(f"if(size(s) >= {KEYS} and not element_at(s, {KEYS}).hot, slice(s, 1, {KEYS}), filter(s, (x, i) -> i < {KEYS} or x.hot))")
-    return ordered.select("id", F.explode(mine).alias("x")).where("x.c > 1").select(F.col("x.v").alias("v"), "id")
+    ordered = values.join(count, "v").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.expr("v ^ (-9223372036854775807L - 1)").alias("o"), "v", "c"))).alias("s"))
+    parted = ordered.select("id", F.expr(f"filter(s, x -> x.c <= {HOT})").alias("cold"), F.expr(f"filter(s, x -> x.c > {HOT})").alias("hot"))
+    mine = F.expr(f"concat(slice(cold, 1, {KEYS}), if(size(cold) < {ENOUGH}, slice(hot, 1, {HOT_KEYS}), slice(hot, 1, 0)))")
+    return parted.select("id", F.explode(mine).alias("x")).where("x.c > 1").select(F.col("x.v").alias("v"), "id", (F.col("x.c") > HOT).alias("hot"))
+
+
+def _near(ids: np.ndarray, side: np.ndarray, crossed: bool, found: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of the links between the sets of a unit: of one chunk, or across two."""
+    size = np.array([len(s) for s in found])
+    _, value, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(found)), size)
+    shared = times[value] > 1
+    column, owner = (np.cumsum(times > 1) - 1)[value[shared]], owner[shared]
+    first, second = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if crossed else (np.arange(len(ids)),) * 2
+    both = np.zeros((len(first), len(second)), np.float32)  # exact below 2 ** 24
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [lo, lo + 4096])
+        m = np.zeros((len(ids), 4096), np.float32)
+        m[owner[a:b], column[a:b] - lo] = 1
+        both += m[first] @ m[second].T
+    near = 100.0 * both >= percent * (size[first][:, None] + size[second][None, :] - both).astype(np.float64)
+    i, j = np.nonzero(near if crossed else np.triu(near, 1))
+    i, j = first[i], second[j]
+    return stars(ids, i[ids[i] != ids[j]], j[ids[i] != ids[j]])
+
+
+def _hot_links(hot: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): stars that connect all links between members of one hot list."""
+    sizes = hot.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = hot.select("v", "id").join(sizes, "v").withColumn("chunks", F.expr(f"cast((n + {CHUNK - 1}) div {CHUNK} as int)")).withColumn("mine", F.expr("cast(pmod(xxhash64(id, 7), chunks) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).select("v", F.least("mine", "other").alias("u"), F.greatest("mine", "other").alias("w"), F.expr("if(mine <= other, 0, 1)").alias("side"), "id")
+    units = dealt.join(texts, "id").select("v", "u", "w", "side", "id", "text")
+
+    def run(batches):
+        now, held = None, []
+
+        def done():
+            if len(held) > 1:
+                a, b = _near(np.array([r[1] for r in held]), np.array([r[0] for r in held]), now[1] != now[2], list(sets([(r[2] or "").encode() for r in held], words)), percent)
+                if len(a):
+                    yield batch(_LINKS, pa.array(a), pa.array(b))
+
+        for b in batches:
+            for k in range(0, b.num_rows, ROWS):
+                for row in zip(*(c.to_pylist() for c in b.slice(k, ROWS).columns), strict=True):
+                    if row[:3] != now:
+                        yield from done()
+                        now, held = row[:3], []
+                    held.append(row[3:])
+        yield from done()
+
+    return units.repartition("v", "u", "w").sortWithinPartitions("v", "u", "w").mapInArrow(run, "a long, b long")
 
 
 def links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -94,13 +150,15 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     reps = own.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     members = own.select("doc_id", "n", "print").join(reps, "print", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     small = stored(own.join(reps.select(F.col("print").alias("_p"), "rep"), (F.col("print") == F.col("_p")) & (F.col("doc_id") == F.col("rep"))).select("doc_id", "n", "print", "sketch").dropDuplicates(["doc_id", "print"]).drop("print"), "representatives")
-    listed = stored(_lists(small), "lists")
+    both = stored(_lists(small), "lists")
+    hot, listed = both.where("hot"), both.where("not hot").select("v", "id")
     listed = listed.join(listed.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id"), "id", "left_semi")
     first = listed.groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").select("v", "first")
     starred = stored(listed.join(first, "v"), "starred")  # (v, id, first)
-    texts = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(starred.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "candidates")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = stored(texts.join(starred.select("id").union(hot.select("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "candidates")
     pairs = starred.where("first < id").groupBy(F.col("first").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
-    found = stored(_verified(_estimated(pairs, small, percent), texts, words, percent), "stars")
+    found = stored(_verified(_estimated(pairs, small, percent), texts, words, percent).union(_hot_links(hot, texts, words, percent)), "stars")
     label = components(found)
     # members that their list's smallest doesn't reach meet the members of other components
     named = starred.join(label, "id", "left").select("v", "id", "first", F.coalesce("component", "id").alias("of"))

@@ -51,6 +51,21 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield star(held)
 
 
+def stars(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star for each component of the links (i, j) between places of ids."""
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        for x in (i, j, label[i], label[j]):
+            np.minimum.at(new, x, low)
+        new = new[new]
+        if (new == label).all():
+            move = np.flatnonzero(label != np.arange(len(ids)))
+            return ids[label[move]], ids[move]
+        label = new
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in links (a, b): the smallest id that can be reached. Ids without a link are not listed."""
     links = stored(links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forest, "a long, b long"), "links")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import stored, table
-from lodestone.llm.components import components
+from lodestone.llm.components import components, stars
 from lodestone.llm.shingles import mixed
 
 COSINE, TABLES, BLOCKS, PROBES, WIDTH, CHUNK, SEED = 0.93, 6, 2, 4, 2.0, 512, 8
@@ -152,21 +152,6 @@ LOCAL = "kind int, a long, b long"
 COUNT, LINK = 0, 1
 
 
-def _stars(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of the links (i, j) between places of ids."""
-    label = np.arange(len(ids))
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        for x in (i, j, label[i], label[j]):
-            np.minimum.at(new, x, low)
-        new = new[new]
-        if (new == label).all():
-            move = np.flatnonzero(label != np.arange(len(ids)))
-            return ids[label[move]], ids[move]
-        label = new
-
-
 def _compared(cell: np.uint64, crossed: bool, rows: list[tuple], cosine: float) -> Iterator[pa.RecordBatch]:
     """One unit: counts by vector and stars. rows: (chunk side, rep, label, copies, vector bytes)."""
     by_size: dict[int, list[tuple]] = {}
@@ -204,7 +189,7 @@ def _compared(cell: np.uint64, crossed: bool, rows: list[tuple], cosine: float)
         np.add.at(total, i, copies[j])
         np.add.at(total, j, copies[i])
         at = np.flatnonzero(total)
-        a, b = _stars(rep, i, j)
+        a, b = stars(rep, i, j)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([COUNT, LINK], np.int32), [len(at), len(a)])), pa.array(np.concatenate([rep[at], a])), pa.array(np.concatenate([total[at], b]))], schema=_LOCAL)
 
 
