@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import batch, free_names, map_rows, table, texts_of
 
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Distinct words whose encodings a worker remembers; then it forgets all and starts again. No word is left out.
+#: Distinct words whose encodings a task remembers; then it forgets all and starts again. No word is left out.
 REMEMBERED = 400_000
 NEVER = np.iinfo(np.int64).max
 
@@ -266,12 +266,13 @@ class Encoder:
                 yield [memo[w] for w in words]
 
 
-def _encoder(path: str) -> Encoder:
-    """One for each path and worker process."""
-    return _encoders.setdefault(path, None) or _encoders.__setitem__(path, Encoder(compiled(path))) or _encoders[path]
+def _encoder(path: str, held: list) -> Encoder:
+    """The one in held, which each task has of its own: what it remembers goes with the task."""
+    if not held:
+        held.append(Encoder(compiled(path)))
+    return held[0]
 
 
-_encoders: dict = {}
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -284,9 +285,10 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every row."""
+    held: list = []
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [np.fromstring(",".join([m[0] for m in e]), np.int32, sep=",") if e else [] for e in _encoder(path).batches(texts_of(b.column(1)))]
+        ids = [np.fromstring(",".join([m[0] for m in e]), np.int32, sep=",") if e else [] for e in _encoder(path, held).batches(texts_of(b.column(1)))]
         return batch(_IDS, b.column(0), ids)
 
     return map_rows(_source(docs, id_col, text_col), run, "doc_id long, ids array<int>")
@@ -304,10 +306,11 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row encoded, and decoded again from its ids: their number, a digest of the ids, a digest of the decoded text."""
+    held: list = []
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n, ids, back = [], [], []
-        for e in _encoder(path).batches(texts_of(b.column(1))):
+        for e in _encoder(path, held).batches(texts_of(b.column(1))):
             n.append(sum([m[1] for m in e]))
             ids.append(hashlib.sha256(",".join([m[0] for m in e]).encode()).hexdigest())
             raw = b"".join([m[2] for m in e])
@@ -322,10 +325,11 @@ def encoded_in_order(docs: DataFrame, path: str, text_col: str = "text") -> Data
     n_name, ids_name, file_name, block_name, row_name = free_names(docs, "n_tokens", "ids", "file", "block", "row")
     placed = docs.withColumns({file_name: F.element_at(F.split(F.input_file_name(), "/"), -1), block_name: F.input_file_block_start(), row_name: F.monotonically_increasing_id()})
     others = [c for c in placed.columns if c != text_col]
+    held: list = []
     schema = placed.select(*others, F.lit(0).cast("long").alias(n_name), F.array(F.lit(0)).alias(ids_name)).schema
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [[m[0] for m in e] for e in _encoder(path).batches(texts_of(b.column(text_col)))]
+        found = [[m[0] for m in e] for e in _encoder(path, held).batches(texts_of(b.column(text_col)))]
         ids = [np.fromstring(",".join(f), np.int32, sep=",") if f else np.zeros(0, np.int32) for f in found]
         columns = [b.column(c) for c in others] + [pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
         return pa.RecordBatch.from_arrays(columns, names=[*others, n_name, ids_name])

@@ -47,6 +47,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
                     yield out
                 elif out is not None:
                     yield from out
+        pa.default_memory_pool().release_unused()  # workers are used again and would keep it
 
     return df.mapInArrow(run, schema)
 
