@@ -36,6 +36,9 @@ CLASSES = {
     "entropy_mixed": (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.7),
 }
 UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}\Z")
+#: What a part between separators looks like in plain words and numbers; random parts in both letter cases don't.
+PLAIN = re.compile(r"(?:[A-Z]?[a-z]+[0-9]*|[A-Z]+[0-9]*|[A-Za-z]{0,2}[0-9]+[A-Za-z]{0,2})?")
+SLUG = re.compile(r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+|[0-9]+)?")
 PLACEHOLDER = re.compile(r"example|placeholder|your[-_]|changeme|xxxx|0000000|1234567890|abcdef012345", re.I)
 
 
@@ -64,11 +67,14 @@ def high_windows(run: str, width: int, least: float) -> list[tuple[int, int]]:
 
 
 def allowed(text: str, start: int, end: int) -> bool:
-    """Whether the allow-list suppresses this candidate: links, paths, UUIDs, placeholders, plain words, numbers and dates."""
+    """Whether the allow-list suppresses this candidate: links, paths, UUIDs, placeholders, plain words, numbers and dates.
+
+    Few digits or letters alone suppress nothing: every part between separators must look like a word or a number."""
     s = text[start:end]
     digits = sum(c.isdigit() for c in s)
     letters = sum(c.isalpha() for c in s)
-    if digits < 3 or letters < 3:
+    parts = re.split(r"[/_=+-]+", s)
+    if (digits < 3 or letters < 3) and all(map(PLAIN.fullmatch, parts)):
         return True
     if UUID.match(s) or PLACEHOLDER.search(s):
         return True
@@ -76,8 +82,7 @@ def allowed(text: str, start: int, end: int) -> bool:
     if before and ("://" in before[0] or before[0].lower().startswith("www.")):
         return True
     # a path or a slug: many separators between words or plain numbers
-    parts = re.split(r"[/_=+-]+", s)
-    return len(parts) > 2 and all(p.isalpha() or p.isdigit() or not p for p in parts)
+    return len(parts) > 2 and all(map(SLUG.fullmatch, parts))
 
 
 def find(text: str, entropy: bool = True) -> list[tuple[int, int, str]]:

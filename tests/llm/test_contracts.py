@@ -163,6 +163,17 @@ def test_entropy_adds_and_allow_list_suppresses():
     assert secret_scan.redacted("token=abcdefgh and more") == "[SECRET] and more"
 
 
+def test_random_tokens_of_few_digits_are_found():
+    rng, lost = random.Random(3), 0
+    for n in (20, 24, 32) * 200:
+        s = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+        lost += bool(secret_scan.high_windows(s, 20, 3.7)) and not secret_scan.find(f"x {s} y")
+    assert lost == 0
+    assert secret_scan.redacted("x qWrTzXvLkJhGfDsAqPwZ y") == "x [SECRET] y"
+    for s in ("Donaudampfschifffahrtsgesellschaft", "the-quick-brown-fox-jumps2 over", "DE89370400440532013000", "THE_QUICK_BROWN_FOX_JUMPS", "12345678901234567890", "src/main/FileReader/QuickBrownFox"):
+        assert secret_scan.find(s) == [], s
+
+
 # 8: repeats
 
 
