@@ -3,9 +3,13 @@
 A page's blocks are sorted by the markup into boilerplate (menus, footers, adverts, forms, comments, ...), article
 (inside a declared article or main region) and undecided (a page that declares no region). Only undecided blocks are
 differenced: such pages are sorted by host and URL path, each is paired with the neighbour of the same host whose path
-shares the longest prefix, their lines are aligned by longest common subsequence, and shared lines are deleted. Where
-the pair shares more than half of either page's characters it is a copy rather than a template, and nothing is
-deleted. Declared articles are never differenced: a passage that two articles share is still text of both.
+shares the longest prefix, their lines are aligned by longest common subsequence, and shared lines are deleted.
+
+Copies are passed over to the nearest page with a different text. Pages of a host with the same lines count as one. A
+neighbour that shares COPY percent of both pages' characters is used only if none of the REACH neighbours on either side
+shares less, and the path differs in more than its query: then it is a long template, and the one that shares least is
+taken. A neighbour is never used where nothing would be left of one of the two. Declared articles are never
+differenced: a passage that two articles share is still text of both.
 
 Defined results: null html is an empty page (text '', n_chars 0); a null url pairs with no page; repeated ids and
 repeated pages are extracted row by row; broken or unclosed markup is closed as browsers do; an empty table gives an
@@ -14,6 +18,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -48,6 +53,8 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form
 MAIN_NAMES = frozenset("content article post entry story maincontent articlebody articlecontent postcontent entrycontent postbody".split())
 WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
 BOILER, UNDECIDED, ARTICLE = 0, 1, 2
+#: Neighbours on each side that a page may be paired with; percent of both pages' characters that copies share; pages that one step compares.
+REACH, COPY, STRETCH = 16, 90, 256
 
 
 class _Open:
@@ -202,17 +209,40 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def differenced(lines: list[str], kinds: list[int], other: list[str] | None) -> str:
-    """The page's text once lines shared with the paired page are deleted from its undecided ones."""
-    mine = [i for i, k in enumerate(kinds) if k == UNDECIDED]
-    gone: set[int] = set()
-    if other:
-        own = [lines[i] for i in mine]
-        shared = common_lines(own, other)
-        size = sum(len(own[i]) for i in shared)
-        if 2 * size <= sum(map(len, own)) and 2 * size <= sum(map(len, other)):
-            gone = {mine[i] for i in shared}
-    return "\n".join(t for i, (t, k) in enumerate(zip(lines, kinds, strict=True)) if k != BOILER and i not in gone)
+def near(page: dict, other: dict) -> int:
+    """Length of the common path prefix of two pages, -1 for different hosts."""
+    return -1 if page["host"] != other["host"] else len(commonprefix([page["path"], other["path"]]))
+
+
+def nearest(pages: list[dict], i: int) -> Iterator[dict]:
+    """The up to 2 * REACH neighbours of pages[i] in a list ordered by host and path, nearest path first."""
+    a, b = i - 1, i + 1
+    while True:
+        left = near(pages[i], pages[a]) if a >= max(0, i - REACH) else -1
+        right = near(pages[i], pages[b]) if b < min(len(pages), i + REACH + 1) else -1
+        if left < 0 and right < 0:
+            return
+        if left >= right:
+            yield pages[a]
+            a -= 1
+        else:
+            yield pages[b]
+            b += 1
+
+
+def deleted(page: dict, others: Iterator[dict]) -> list[int]:
+    """Places of the page's lines that it shares with the nearest other page that is no copy of it."""
+    best, least, own = set(), 0, sum(page["sizes"])
+    for o in others:
+        shared = common_lines(page["marks"], o["marks"])
+        if len(shared) in (len(page["marks"]), len(o["marks"])):
+            continue  # nothing would be left of one of them
+        size = sum(page["sizes"][i] for i in shared)
+        if 100 * size < COPY * max(own, sum(o["sizes"])):
+            return sorted(shared)
+        if page["path"].split("?")[0] != o["path"].split("?")[0] and (not best or size < least):
+            best, least = shared, size
+    return sorted(best)
 
 
 def split_url(url: str | None) -> tuple[str | None, str]:
@@ -224,64 +254,71 @@ def split_url(url: str | None) -> tuple[str | None, str]:
         return None, ""
 
 
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.string())), ("kinds", pa.list_(pa.int32())), ("settled", pa.bool_())])
-PARSED = "page_id long, url string, host string, path string, lines array<string>, kinds array<int>, settled boolean"
-_TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-TEXT = "page_id long, url string, text string, n_chars long"
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("lines", pa.list_(pa.string())), ("host", pa.string()), ("path", pa.string()), ("marks", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("print", pa.binary())])
+PARSED = "page_id long, url string, lines array<string>, host string, path string, marks array<long>, sizes array<int>, print binary"
+_GONE = pa.schema([("host", pa.string()), ("print", pa.binary()), ("gone", pa.list_(pa.int32()))])
+GONE = "host string, print binary, gone array<int>"
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Lines and kinds of every page; of a settled page only the lines that stay."""
+    """The lines of every page that its markup leaves; of a page to be differenced also host, path, hashes and lengths of its lines, and a digest of them all."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for i, u, h in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
             lines, kinds, settled = decided(blocks(h or ""))
-            if settled or not any(kinds):
-                lines, kinds, settled = [t for t, k in zip(lines, kinds, strict=True) if k], [], True
-            rows.append((i, u, *(split_url(u) if not settled else (None, "")), lines, kinds, settled))
-        return batch(_PARSED, *(list(zip(*rows, strict=True)) or [[]] * 7))
+            lines = [t for t, k in zip(lines, kinds, strict=True) if k != BOILER]
+            host, path = split_url(u)
+            if settled or not lines or host is None:
+                rows.append((i, u, lines, *[None] * 5))
+            else:
+                marks = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in lines]
+                rows.append((i, u, lines, host, path, [int.from_bytes(m, "little", signed=True) for m in marks], [len(t) for t in lines], hashlib.blake2b(b"".join(marks), digest_size=16).digest()))
+        return batch(_PARSED, *(list(zip(*rows, strict=True)) or [[]] * 8))
 
     return map_rows(pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string")), run, PARSED)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of pages that come in order of host and path; at any time three of them are held."""
+def _deletions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Deletions of the pages of every stretch, of pages that come in order of stretch and place; one stretch is held at a time."""
+
+    def done(stretch: int, held: list[dict]) -> Iterator[pa.RecordBatch]:
+        rows = [(p["host"], p["print"], deleted(p, nearest(held, i))) for i, p in enumerate(held) if p["at"] // STRETCH == stretch]
+        rows = [r for r in rows if r[2]]
+        if rows:
+            yield batch(_GONE, *zip(*rows, strict=True))
+
+    now, held = None, []
+    for b in batches:
+        for i in range(0, b.num_rows, STRETCH):
+            for p in b.slice(i, STRETCH).to_pylist():
+                if p["stretch"] != now:
+                    yield from done(now, held)
+                    now, held = p["stretch"], []
+                held.append(p)
+    yield from done(now, held)
 
-    def pages():
-        for b in batches:
-            yield from b.to_pylist()
 
-    def near(page: dict, other: dict | None) -> int:
-        return -1 if other is None or page["host"] is None or page["host"] != other["host"] else len(commonprefix([page["path"], other["path"]]))
+def _placed(pages: DataFrame) -> DataFrame:
+    """pages with their place (at) in order of host and path."""
+    return stored(pages.repartitionByRange("host", "path", "print").sortWithinPartitions("host", "path", "print").withColumn("at", F.monotonically_increasing_id()), "placed")
 
-    def done(before: dict | None, page: dict, after: dict | None) -> tuple:
-        best = max((before, after), key=lambda o: near(page, o))
-        other = [t for t, k in zip(best["lines"], best["kinds"], strict=True) if k == UNDECIDED] if near(page, best) >= 0 else None
-        text = differenced(page["lines"], page["kinds"], other)
-        return page["page_id"], page["url"], text, len(text)
 
-    rows: list[tuple] = []
-    before = page = None
-    for after in pages():
-        if page is not None:
-            rows.append(done(before, page, after))
-        before, page = page, after
-        if len(rows) >= 500:
-            yield batch(_TEXT, *zip(*rows, strict=True))
-            rows = []
-    if page is not None:
-        rows.append(done(before, page, None))
-        yield batch(_TEXT, *zip(*rows, strict=True))
+def deletions(found: DataFrame) -> DataFrame:
+    """(host, print, gone): places of the lines to delete, for each different text of a host (copies count as one page)."""
+    texts = found.where("print is not null").groupBy("host", "print").agg(F.min("path").alias("path"), F.first("marks").alias("marks"), F.first("sizes").alias("sizes"))
+    # a page also goes to the stretches that have it within reach
+    dealt = _placed(texts).withColumn("stretch", F.explode(F.expr(f"sequence((at - {REACH}) div {STRETCH}, (at + {REACH}) div {STRETCH})")))
+    return dealt.repartition("stretch").sortWithinPartitions("stretch", "at").mapInArrow(_deletions, GONE)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     found = stored(parsed(pages, id_col, url_col, html_col), "parsed")
-    text = F.concat_ws("\n", "lines")
-    settled = found.where("settled").select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
-    rest = found.where("not settled").repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return settled.unionByName(rest.mapInArrow(_pairs, TEXT))
+    out = [F.concat_ws("\n", "lines").alias("text"), F.char_length(F.concat_ws("\n", "lines")).cast("long").alias("n_chars")]
+    rest = found.where("print is not null").select("page_id", "url", "lines", "host", "print").join(deletions(found).hint("merge"), ["host", "print"], "left")
+    rest = rest.select("page_id", "url", F.expr("if(gone is null, lines, filter(lines, (x, i) -> not array_contains(gone, i)))").alias("lines"))
+    return found.where("print is null").select("page_id", "url", *out).unionByName(rest.select("page_id", "url", *out))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

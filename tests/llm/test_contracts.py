@@ -368,6 +368,32 @@ def test_html_difference(spark):
             assert r["text"] == ""
 
 
+def pages_of(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+
+
+PLAIN_PAGE = "<html><body><div><p>Menu one</p><p>{}</p></div><div><p>{}</p></div><div><p>Footer</p></div></body></html>"
+
+
+def test_html_copies_are_passed_over(spark):
+    own, far = prose(30), prose(30)
+    page = lambda text, note="": PLAIN_PAGE.format(f"note {note}", text)
+    rows = [(i, f"https://copies.org/a/x?session={i:03}", page(own)) for i in range(60)] + [(100, "https://copies.org/z", page(far))]
+    rows += [(200 + i, f"https://near.org/a/x{i}", page(own, i)) for i in range(5)] + [(300, "https://near.org/b", page(far, "b"))]
+    rows += [(400 + i, f"https://alone.org/x?at={i}", page(own, i)) for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in html_diff.extract(pages_of(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == own for i in range(60)) and got[100] == far
+    assert all(got[200 + i] == f"note {i}\n{own}" for i in range(5)) and got[300] == f"note b\n{far}"
+    assert all(got[400 + i] == f"Menu one\nnote {i}\n{own}\nFooter" for i in range(2))
+
+
+def test_html_short_articles_under_long_templates(spark):
+    menu = prose(300)
+    rows = [(i, f"https://long.org/a/{i}", PLAIN_PAGE.format(menu, f"short {i} text")) for i in range(5)]
+    assert all(r["text"] == f"short {r['page_id']} text" and r["n_chars"] == len(r["text"]) for r in html_diff.extract(pages_of(spark, rows)).collect())
+
+
 def test_common_lines():
     rng = random.Random(2)
     for _ in range(300):
