@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batch, map_rows, stored, table
+from lodestone.llm.common import ROWS, batch, map_rows, stored, table
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
 ATTR = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -282,26 +282,33 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
 def _deletions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Deletions of the pages of every stretch, of pages that come in order of stretch and place; one stretch is held at a time."""
 
-    def done(stretch: int, held: list[dict]) -> Iterator[pa.RecordBatch]:
-        rows = [(p["host"], p["print"], deleted(p, nearest(held, i))) for i, p in enumerate(held) if p["at"] // STRETCH == stretch]
+    def done(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        rows = [(p["host"], p["print"], deleted(p, nearest(held, i))) for i, p in enumerate(held) if p["mine"]]
         rows = [r for r in rows if r[2]]
         if rows:
             yield batch(_GONE, *zip(*rows, strict=True))
 
     now, held = None, []
     for b in batches:
-        for i in range(0, b.num_rows, STRETCH):
-            for p in b.slice(i, STRETCH).to_pylist():
+        for i in range(0, b.num_rows, ROWS):
+            for p in b.slice(i, ROWS).to_pylist():
                 if p["stretch"] != now:
-                    yield from done(now, held)
+                    yield from done(held)
                     now, held = p["stretch"], []
                 held.append(p)
-    yield from done(now, held)
+    yield from done(held)
 
 
 def _placed(pages: DataFrame) -> DataFrame:
-    """pages with their place (at) in order of host and path."""
-    return stored(pages.repartitionByRange("host", "path", "print").sortWithinPartitions("host", "path", "print").withColumn("at", F.monotonically_increasing_id()), "placed")
+    """pages with their place (at) in order of host and path, counted over all partitions."""
+    found = stored(pages.repartitionByRange("host", "path", "print").sortWithinPartitions("host", "path", "print").withColumn("_at", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_at", 33)
+    before, starts = 0, []
+    for p, n in sorted(map(tuple, found.groupBy(part.alias("p")).count().collect())):  # one row a partition
+        starts.append((p, before))
+        before += n
+    start = found.sparkSession.createDataFrame(starts, "_p long, _start long")
+    return found.join(F.broadcast(start), part == start["_p"]).withColumn("at", F.expr("(_at & 8589934591) + _start")).drop("_at", "_p", "_start")
 
 
 def deletions(found: DataFrame) -> DataFrame:
@@ -309,6 +316,7 @@ def deletions(found: DataFrame) -> DataFrame:
     texts = found.where("print is not null").groupBy("host", "print").agg(F.min("path").alias("path"), F.first("marks").alias("marks"), F.first("sizes").alias("sizes"))
     # a page also goes to the stretches that have it within reach
     dealt = _placed(texts).withColumn("stretch", F.explode(F.expr(f"sequence((at - {REACH}) div {STRETCH}, (at + {REACH}) div {STRETCH})")))
+    dealt = dealt.withColumn("mine", F.expr(f"at div {STRETCH} = stretch"))
     return dealt.repartition("stretch").sortWithinPartitions("stretch", "at").mapInArrow(_deletions, GONE)
 
 

@@ -388,6 +388,22 @@ def test_html_copies_are_passed_over(spark):
     assert all(got[400 + i] == f"Menu one\nnote {i}\n{own}\nFooter" for i in range(2))
 
 
+@pytest.mark.parametrize("stretch", [256, 3])
+def test_html_pairs_across_partitions(spark, stretch, monkeypatch):
+    monkeypatch.setattr(html_diff, "STRETCH", stretch)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 13)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        words = {i: prose(20) for i in range(80)}
+        rows = [(i, f"https://h{i // 2:02}.org/a/{i}", PLAIN_PAGE.format(f"note {i}", words[i])) for i in words]
+        got = {r["page_id"]: r["text"] for r in html_diff.extract(pages_of(spark, rows)).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == {i: f"note {i}\n{words[i]}" for i in words}
+
+
 def test_html_short_articles_under_long_templates(spark):
     menu = prose(300)
     rows = [(i, f"https://long.org/a/{i}", PLAIN_PAGE.format(menu, f"short {i} text")) for i in range(5)]
