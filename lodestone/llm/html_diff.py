@@ -1,14 +1,15 @@
 """HTML extraction: page structure first, then nearest-URL page differencing.
 
-A page's blocks are sorted by the markup into boilerplate (menus, footers, adverts, forms, comments, ...), article
-(inside a declared article or main region) and undecided (a page that declares no region). Only undecided blocks are
-differenced: such pages are sorted by host and URL path, each is paired with the neighbour of the same host whose path
+A page's blocks are sorted by the markup into boilerplate (menus, footers, adverts, forms, comments, ..., and what lies
+outside a declared region), article (inside an article element) and undecided (inside a main element, a role of main or
+an element named as content, which often wrap menus as well; all of a page that declares no region). Only undecided
+blocks are differenced: such pages are sorted by host and URL path, each is paired with the neighbour of the same host whose path
 shares the longest prefix, their lines are aligned by longest common subsequence, and shared lines are deleted.
 
 Copies are passed over to the nearest page with a different text. Pages of a host with the same lines count as one. A
 neighbour that shares COPY percent of both pages' characters is used only if none of the REACH neighbours on either side
 shares less, and the path differs in more than its query: then it is a long template, and the one that shares least is
-taken. A neighbour is never used where nothing would be left of one of the two. Declared articles are never
+taken. A neighbour is never used where nothing would be left of one of the two. Article elements are never
 differenced: a passage that two articles share is still text of both.
 
 Defined results: null html is an empty page (text '', n_chars 0); a null url pairs with no page; repeated ids and
@@ -169,11 +170,10 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
 
 
 def decided(found: list[tuple[str, int, int]]) -> tuple[list[str], list[int], bool]:
-    """Lines with their kinds, and whether the page declares where its article is."""
+    """Lines with their kinds, and whether the page declares its article by an article element; a region declared otherwise stays undecided."""
     top = max((r for _, k, r in found if k != BOILER), default=0)
-    if not top:
-        return [t for t, _, _ in found], [k for _, k, _ in found], False
-    return [t for t, _, _ in found], [ARTICLE if k != BOILER and r >= top else BOILER for _, k, r in found], True
+    kept = ARTICLE if top == 3 else UNDECIDED
+    return [t for t, _, _ in found], [kept if k != BOILER and r >= top else BOILER for _, k, r in found], top == 3
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:

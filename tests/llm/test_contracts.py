@@ -404,6 +404,15 @@ def test_html_pairs_across_partitions(spark, stretch, monkeypatch):
     assert got == {i: f"note {i}\n{words[i]}" for i in words}
 
 
+@pytest.mark.parametrize("opening, differs", [("<div id=content>", True), ("<div class='post x'>", True), ("<div role=main>", True), ("<main>", True), ("<article>", False)])
+def test_html_weakly_declared_pages_are_differenced(spark, opening, differs):
+    close = "</" + re.match("<([a-z]+)", opening)[1] + ">"
+    words = {i: prose(20) for i in range(6)}
+    rows = [(i, f"https://weak.org/a/{i}", f"<body><p>outside</p>{opening}<div><p>Menu one</p></div><p>{t}</p><p>By law, notice</p>{close}</body>") for i, t in words.items()]
+    got = {r["page_id"]: r["text"] for r in html_diff.extract(pages_of(spark, rows)).collect()}
+    assert got == {i: t if differs else f"Menu one\n{t}\nBy law, notice" for i, t in words.items()}
+
+
 def test_html_short_articles_under_long_templates(spark):
     menu = prose(300)
     rows = [(i, f"https://long.org/a/{i}", PLAIN_PAGE.format(menu, f"short {i} text")) for i in range(5)]
