@@ -28,7 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import ROWS, batch, map_rows, stored, table, texts_of
@@ -42,6 +42,18 @@ LEAST = 0.4
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
 
+_PRINTED = pa.schema([("id", pa.int64()), ("text", pa.string()), ("print", pa.binary())])
+
+
+def _print(found: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
+
+
+def _node(of: str) -> Column:
+    """What a text goes by whose id has several."""
+    return F.xxhash64(of, "print")
+
+
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n, print, sketch): size of the set, its digest (null if empty), its K smallest hashes in unsigned order."""
 
@@ -49,13 +61,26 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
         n, prints, small = [], [], []
         for s in sets([t.encode() for t in texts_of(b.column(1))], words):
             n.append(len(s))
-            prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            prints.append(_print(s))
             small.append(s[:K].view(np.int64))
         return batch(_SKETCH, b.column(0), n, prints, small)
 
     return map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, "doc_id long, n long, print binary, sketch array<long>")
 
 
+def _texts(docs: DataFrame, several: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(id, text) of the nodes: one text of an id, or for the ids in several one of each print."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        prints = [_print(s) for s in sets([t.encode() for t in texts_of(b.column(1))], words)]
+        return batch(_PRINTED, b.column(0), b.column(1), prints)
+
+    if several.isEmpty():
+        return docs.join(nodes, "id", "left_semi").dropDuplicates(["id"])
+    printed = map_rows(docs.join(several, "id", "left_semi"), run, "id long, text string, print binary").select(_node("id").alias("id"), "text")
+    return docs.join(several, "id", "left_anti").union(printed).join(nodes, "id", "left_semi").dropDuplicates(["id"])
+
+
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -149,14 +174,20 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     own = stored(sketches(docs, words, id_col, text_col), "sketches")
     reps = own.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     members = own.select("doc_id", "n", "print").join(reps, "print", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
-    small = stored(own.join(reps.select(F.col("print").alias("_p"), "rep"), (F.col("print") == F.col("_p")) & (F.col("doc_id") == F.col("rep"))).select("doc_id", "n", "print", "sketch").dropDuplicates(["doc_id", "print"]).drop("print"), "representatives")
+    # a class goes by the id of its representative, or by a hash where that id has several texts
+    some = F.coalesce("print", F.lit(b""))
+    several = stored(own.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min(some).alias("_lo"), F.max(some).alias("_hi")).where("_lo < _hi").select("id"), "several")
+    small = own.join(reps.select(F.col("print").alias("_p"), "rep"), (F.col("print") == F.col("_p")) & (F.col("doc_id") == F.col("rep"))).join(several, F.col("doc_id") == F.col("id"), "left")
+    small = stored(small.select(F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(_node("doc_id")).alias("node"), "doc_id", "n", "sketch").dropDuplicates(["node"]), "representatives")
+    names = small.where("node <> doc_id").select("node", F.col("doc_id").alias("_rep"))
+    small = small.select(F.col("node").alias("doc_id"), "n", "sketch")
     both = stored(_lists(small), "lists")
     hot, listed = both.where("hot"), both.where("not hot").select("v", "id")
     listed = listed.join(listed.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id"), "id", "left_semi")
     first = listed.groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").select("v", "first")
     starred = stored(listed.join(first, "v"), "starred")  # (v, id, first)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = stored(texts.join(starred.select("id").union(hot.select("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "candidates")
+    texts = stored(_texts(texts, several, starred.select("id").union(hot.select("id")).distinct(), words), "candidates")
     pairs = starred.where("first < id").groupBy(F.col("first").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
     found = stored(_verified(_estimated(pairs, small, percent), texts, words, percent).union(_hot_links(hot, texts, words, percent)), "stars")
     label = components(found)
@@ -168,7 +199,14 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     cross = apart.join(named.select("v", "id", "of"), "v").where("ox <> of and x <> id")
     cross = cross.select("v", F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct().groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b").join(pairs, ["a", "b"], "left_anti")
     more = _verified(_estimated(cross, small, percent), texts, words, percent)
-    return members, components(found.union(more))
+    linked = found.union(more)
+    if several.isEmpty():
+        return members, components(linked)
+    for k in "ab":
+        linked = linked.join(names.withColumnRenamed("node", k), k, "left").withColumn(k, F.coalesce("_rep", k)).drop("_rep")
+    # an id with several texts ties their classes together
+    ties = members.join(several, members.doc_id == several.id, "left_semi").where("rep <> doc_id").select("doc_id", "rep")
+    return members, components(linked.select("a", "b").where("a <> b").union(ties))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -289,6 +289,19 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
     assert counted(got) == Counter([(None, 36, None, True), (1, 36, 1, True), (1, 36, 1, True), (2, 36, 1, False), (3, 0, 3, True)])
 
 
+def test_near_duplicates_of_two_texts_under_one_id(spark):
+    near = lambda t: t + " tail"
+    docs, want = [], {}
+    for k in range(0, 400, 20):
+        x, y, z = prose(60), prose(60), prose(60)
+        # one id with two texts, each near a text of another id; one whose second text is a copy; one with an empty text
+        docs += [(k + 3, x), (k + 3, y), (k + 4, near(x)), (k + 5, near(y)), (k + 6, z), (k + 6, prose(60)), (k + 1, z), (k + 7, None), (k + 7, near(z))]
+        want |= {k + 3: k + 3, k + 4: k + 3, k + 5: k + 3, k + 6: k + 1, k + 1: k + 1, k + 7: k + 1}
+    got = bottom_k.near_duplicates(rows_of(spark, docs), 4).collect()
+    assert len(got) == len(docs)
+    assert all(r["component_id"] == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == want[r["doc_id"]]) for r in got)
+
+
 # 10: embeddings
 
 
