@@ -85,20 +85,19 @@ def test_run(spark, sf, stages):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()) == sorted(rows(stages[5]))
 
 
-@pytest.mark.parametrize("hot,chunk", [(4, 8), (1, 16)])
-def test_hot_lists_in_chunks(spark, hot, chunk, monkeypatch):
-    """Families of near copies around several texts, with lists cut into many units."""
+@pytest.mark.parametrize("hot", [1, 4, 12])
+def test_hot_lists(spark, hot, monkeypatch):
+    """Families of near copies around several texts, whose lists are nearly all hot."""
     import random
 
     rng = random.Random(hot)
     monkeypatch.setattr(bottom_k, "HOT", hot)
-    monkeypatch.setattr(bottom_k, "CHUNK", chunk)
     docs, n = [], 0
     for _ in range(4):
         base = [f"w{rng.randrange(5000)}" for _ in range(120)]
         for _ in range(40):
             w = list(base)
-            for _ in range(rng.randint(0, 6)):
+            for _ in range(rng.randint(0, 9)):
                 w[rng.randrange(120)] = f"x{rng.randrange(9999)}"
             docs.append((n, " ".join(w)))
             n += 1
