@@ -1,25 +1,29 @@
 """BPE by a tokenization automaton.
 
-Compilation. The automaton over tokens starts with one arc for every pair of bytes. Each merge u v -> w, in rank
-order, adds a gadget: the arc u -> v goes; w takes the arcs into u and the arcs out of v as they are at that moment.
-What is left after the last merge are exactly the pairs of neighbours that a correct tokenization may hold, and a
-token sequence is the encoding of its text if and only if all its neighbours are joined by arcs. A gadget is stored
-as three numbers (left part, right part, rank), from which ``arcs`` reads whether an arc survived: it unwinds the two
-tokens gadget by gadget to the bytes that meet, and looks for a merge that cut the arc before the later gadget took it
-over. A second table over the tokens' bytes gives the byte transitions.
-
-Encoding walks that automaton over all distinct pre-split words of a batch at once, a table look-up for each step:
-take the longest token from the present byte, step if an arc joins it to the last token, else take its next shorter
-prefix, else mark the byte as dead and step back. Decoding emits the bytes that label each token's arc.
+Compilation. The merge u v -> w of rank r is a gadget, a transducer of two states: in the first it passes every token on
+but u, which it holds; in the second it holds u, and a v that arrives makes w, while anything else lets u go first. The
+gadgets of all merges, one behind the other in order of their ranks, make every merge of BPE from left to right. A state
+of their composition is the sequence of held tokens, each with the gadget that holds it; as a token that came later
+is always held by an earlier gadget, a byte meets the held tokens from the last to the first, and its way is told by
+the next gadget that would hold it alone. A token whose follower begins with none of what its gadget waits for goes on
+at once, so that states that differ in nothing to come are one. The composition is deterministic: each pair of a state
+and a byte has one arc to another state, which is labelled with the tokens that come out at the end.
+
+The arcs are rows of a table, state and byte to state and tokens, which is composed as far as it is walked: over 50,000
+merges the whole table has too many states to hold, and each arc of it is composed once by ``compose`` and looked up
+from then on. ``complete`` composes the whole of it for small vocabularies. Encoding is one table look-up for each byte of a word
+and one for its end, without a step back. Decoding emits the bytes that label each token.
 
 Defined results: a null text counts as empty (no tokens); the special token's own string in a text becomes its id, as
-the tokenizers library does; repeated rows are encoded row by row; other columns are ignored.
+the tokenizers library does; repeated rows and rows with a null or repeated id are encoded row by row; very long words
+take one state at a time, like others; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -32,8 +36,10 @@ from lodestone.llm.common import batch, free_names, map_rows, table, texts_of
 
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Distinct words whose encodings a task remembers; then it forgets all and starts again. No word is left out.
-REMEMBERED = 400_000
-NEVER = np.iinfo(np.int64).max
+REMEMBERED = 300_000
+#: Arcs that a task's table holds; then it is emptied and composed anew from where it is walked.
+ARCS = 500_000
+END = 256
 
 
 def _byte_chars() -> dict[str, int]:
@@ -43,174 +49,115 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Table:
-    """An immutable map of non-negative int64 keys to int64, by open addressing; looks up whole arrays."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(4 * len(keys) + 4))))
-        self.key, self.value = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
-        at, todo = self._home(keys), np.arange(len(keys))
-        while len(todo):
-            free = todo[self.key[at[todo]] < 0]
-            self.key[at[free]] = keys[free]  # of several for one slot, one stays
-            won = free[self.key[at[free]] == keys[free]]
-            self.value[at[won]] = values[won]
-            todo = todo[self.key[at[todo]] != keys[todo]]
-            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray, default: int) -> np.ndarray:
-        at = self._home(keys)
-        k = self.key[at]
-        out = np.where(k == keys, self.value[at], default)
-        todo = np.flatnonzero((k != keys) & (k >= 0))
-        while len(todo):
-            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
-            k = self.key[at[todo]]
-            hit = todo[k == keys[todo]]
-            out[hit] = self.value[at[hit]]
-            todo = todo[(k != keys[todo]) & (k >= 0)]
-        return out
-
-
 class Automaton:
-    """The compiled tables, all numpy arrays or plain lists, so that it can be broadcast; their size follows the vocabulary alone."""
+    """The gadgets of all merges, and the table of arcs that were composed from them."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             d = json.load(f)
         model, to_byte = d["model"], _byte_chars()
         vocab = model["vocab"]
-        size = max([*vocab.values(), *(t["id"] for t in d["added_tokens"])]) + 1
-        self.labels: list[bytes] = [b""] * size
-        for s, i in vocab.items():
-            self.labels[i] = bytes(to_byte[c] for c in s)
-        self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
-        for s, i in self.special.items():
-            self.labels[i] = s.encode()
-        self.byte_token = np.full(256, -1, np.int32)
-        for s, i in vocab.items():
-            if len(s) == 1:
-                self.byte_token[to_byte[s]] = i
-        self.left, self.right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-        self.rank = np.full(size, -1, np.int64)
-        keys, ranks = [], []
-        for r, m in enumerate(model["merges"]):
-            u, v = m if isinstance(m, list) else m.split(" ")
-            a, b, w = vocab[u], vocab[v], vocab[u + v]
-            if self.rank[w] < 0:
-                self.left[w], self.right[w], self.rank[w] = a, b, r
-            keys.append(a * size + b)
-            ranks.append(r)
-        self.size = size
-        self.merges = Table(np.array(keys, np.int64), np.array(ranks, np.int64))
-        self.length = np.array([len(x) for x in self.labels], np.int64)
-        self._trie([(self.labels[i], i) for i in vocab.values() if self.rank[i] >= 0 or len(self.labels[i]) == 1])
-
-    def cut(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Rank of the merge that takes away the arc x -> y; the largest number if none does."""
-        return self.merges.get(x * self.size + y, NEVER)
-
-    def arcs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether the compiled automaton has the arc x -> y, for each pair."""
-        out = np.ones(len(x), bool)
-        x, y, todo = x.copy(), y.copy(), np.arange(len(x))
-        before = np.full(len(x), NEVER, np.int64)
-        while len(todo):
-            bad = self.cut(x[todo], y[todo]) < before[todo]
-            out[todo[bad]] = False
-            todo = todo[~bad]
-            rx, ry = self.rank[x[todo]], self.rank[y[todo]]
-            todo, rx, ry = todo[(k := (rx >= 0) | (ry >= 0))], rx[k], ry[k]
-            later = rx > ry
-            a, b = todo[later], todo[~later]
-            before[a] = rx[later]
-            x[a] = self.right[x[a]]
-            before[b] = ry[~later] + 1
-            y[b] = self.left[y[b]]
-        return out
-
-    def _trie(self, words: list[tuple[bytes, int]]) -> None:
-        children: list[dict[int, int]] = [{}]
-        token = [-1]
-        for w, i in words:
-            at = 0
-            for c in w:
-                nxt = children[at].get(c)
-                if nxt is None:
-                    nxt = len(children)
-                    children[at][c] = nxt
-                    children.append({})
-                    token.append(-1)
-                at = nxt
-            token[at] = i
-        arcs = [(n * 256 + c, m) for n, cs in enumerate(children) for c, m in cs.items()]
-        self.goto, self.token = Table(*np.array(arcs, np.int64).T), np.array(token, np.int64)
-        #: the longest token that is a proper prefix of each token
-        self.shorter = np.full(self.size, -1, np.int64)
-        for w, i in words:
-            at, last = 0, -1
-            for c in w[:-1]:
-                at = children[at][c]
-                if token[at] >= 0:
-                    last = token[at]
-            self.shorter[i] = last
-
-    def longest(self, text: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The longest token that starts at each place of the flat bytes; every byte is a token itself."""
-        node, best = np.zeros(len(at), np.int64), np.full(len(at), -1, np.int64)
-        todo, at = np.arange(len(at)), at.copy()
-        while len(todo):
-            nxt = self.goto.get(node[todo] * 256 + text[at[todo]], -1)
-            todo, nxt = todo[nxt >= 0], nxt[nxt >= 0]
-            node[todo] = nxt
-            t = self.token[node[todo]]
-            best[todo[t >= 0]] = t[t >= 0]
-            at[todo] += 1
-            todo = todo[at[todo] < end[todo]]
-        return best
-
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each non-empty word."""
-        n = len(words)
-        if not n:
-            return []
-        size = np.array([len(w) for w in words], np.int64)
-        text = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
-        start = np.concatenate([[0], np.cumsum(size)])
-        end, place = start[1:], start[:-1].copy()
-        stack = np.zeros(len(text), np.int64)  # the ids of a word are stacked from its own first byte on
-        top = start[:-1].copy()
-        dead = np.zeros(len(text) + 1, bool)
-        cand = self.longest(text, place, end)
-        todo = np.arange(n)
-        while len(todo):
-            c, p, k = cand[todo], place[todo], top[todo]
-            stop = p + self.length[c]
-            inner = stop < end[todo]
-            ok = ~(inner & dead[np.minimum(stop, len(text))])
-            linked = k > start[todo]
-            look = np.flatnonzero(ok & linked)
-            ok[look] = self.arcs(stack[k[look] - 1], c[look])
-            go = todo[ok]
-            stack[k[ok]] = c[ok]
-            top[go] += 1
-            place[go] = stop[ok]
-            more = go[stop[ok] < end[go]]
-            cand[more] = self.longest(text, place[more], end[more])
-            back = todo[~ok]
-            s = self.shorter[c[~ok]]
-            cand[back[s >= 0]] = s[s >= 0]
-            out = back[s < 0]
-            dead[place[out]] = True
-            top[out] -= 1
-            last = stack[top[out]]
-            cand[out] = last
-            place[out] -= self.length[last]
-            todo = np.concatenate([more, back])
-        return [stack[a:b] for a, b in zip(start[:-1].tolist(), top.tolist(), strict=True)]
+        labels = {i: bytes(to_byte[c] for c in s) for s, i in vocab.items()}
+        special = {t["content"]: t["id"] for t in d["added_tokens"]}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self._set(labels, [(vocab[u], vocab[v], vocab[u + v]) for u, v in merges], special)
+
+    @classmethod
+    def of(cls, labels: dict[int, bytes], merges: list[tuple[int, int, int]]) -> Automaton:
+        """From the bytes of each token and merges (left, right, merged) in order of their ranks."""
+        self = cls.__new__(cls)
+        self._set(labels, merges, {})
+        return self
+
+    def _set(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]], special: dict[str, int]) -> None:
+        self.special = special
+        self.labels: list[bytes] = [b""] * (max([*labels, *special.values()]) + 1)
+        for i, x in [*labels.items(), *((i, s.encode()) for s, i in special.items())]:
+            self.labels[i] = x
+        #: the token of each byte, and one that stands for the end, which no gadget knows
+        self.token = [-1] * 256 + [len(self.labels)]
+        for i, x in labels.items():
+            if len(x) == 1:
+                self.token[x[0]] = i
+        #: of each token the gadgets that hold it; of two tokens the gadgets that hold the first and may get to see what they wait for when the second follows, as it begins with that one
+        self.holders: dict[int, list[int]] = {}
+        self.meets: dict[tuple[int, int], list[int]] = {}
+        begin: dict[int, int] = {}
+        for u, _, w in merges:
+            begin.setdefault(w, u)
+        for r, (u, v, _) in enumerate(merges):
+            self.holders.setdefault(u, []).append(r)
+            while v is not None:
+                self.meets.setdefault((u, v), []).append(r)
+                v = begin.get(v)
+        self.waits, self.makes = [m[1] for m in merges], [m[2] for m in merges]
+        self.clear()
+
+    def clear(self) -> None:
+        self.states: list[tuple[tuple[int, int], ...]] = [()]  # (gadget, token) held, from the first to the last
+        self.number: dict[tuple, int] = {(): 0}
+        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}  # state * 512 + byte -> next state * 512, tokens
+
+    def _pass(self, held: list[tuple[int, int]], out: list[int], x: int, after: int, follower: int | None) -> None:
+        """Token x, behind gadget ``after`` and all held tokens, goes on as far as it gets; gadgets that would hold it in vain before the follower are left out."""
+        while True:
+            ranks = self.holders.get(x, ()) if follower is None else self.meets.get((x, follower), ())
+            k = bisect_right(ranks, after)
+            holds = ranks[k] if k < len(ranks) else len(self.waits)
+            if held and held[-1][0] <= holds:
+                gadget, u = held.pop()
+                if self.waits[gadget] == x:
+                    x, after = self.makes[gadget], gadget
+                    continue
+                self._pass(held, out, u, gadget, x)
+                if gadget < holds:
+                    after = gadget
+                    continue
+            if holds < len(self.waits):
+                held.append((holds, x))
+            else:
+                out.append(x)
+            return
+
+    def compose(self, at: int) -> tuple[int, tuple[int, ...]]:
+        """The arc of a state and a byte (state * 512 + byte), put into the table."""
+        held, out = list(self.states[at >> 9]), []
+        byte = at & 511
+        x = self.token[byte]
+        if held:  # the last token learns what follows it
+            gadget, u = held.pop()
+            self._pass(held, out, u, gadget - 1, x)
+        self._pass(held, out, x, -1, None)
+        if byte == END:
+            out.pop()  # the end itself
+        state = tuple(held)
+        n = self.number.get(state)
+        if n is None:
+            n = self.number[state] = len(self.states)
+            self.states.append(state)
+        arc = self.arcs[at] = (n << 9, tuple(out))
+        return arc
+
+    def complete(self) -> int:
+        """Composes all arcs of all states that can be reached; how many states there are."""
+        known = [b for b in range(256) if self.token[b] >= 0] + [END]
+        n = 0
+        while n < len(self.states):
+            for b in known:
+                self.compose((n << 9) + b)
+            n += 1
+        return n
+
+    def encode_word(self, word: bytes) -> list[int]:
+        """The ids of a word."""
+        arcs, ids, at = self.arcs, [], 0
+        for b in word:
+            arc = arcs.get(at + b) or self.compose(at + b)
+            at, out = arc
+            if out:
+                ids += out
+        ids += (arcs.get(at + END) or self.compose(at + END))[1]
+        return ids
 
     def decode(self, ids) -> bytes:
         return b"".join([self.labels[i] for i in ids])
@@ -244,12 +191,11 @@ class Encoder:
             if w in self.a.special:
                 i = self.a.special[w]
                 self.memo[w] = (str(i), 1, self.a.decode([i]))
-        new = [w for w in new if w not in self.a.special]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, ids in zip(part, self.a.encode_words([w.encode() for w in part]), strict=True):
-                ids = ids.tolist()
+            else:
+                ids = self.a.encode_word(w.encode())
                 self.memo[w] = (",".join(map(str, ids)), len(ids), self.a.decode(ids))
+        if len(self.a.arcs) > ARCS:
+            self.a.clear()
 
     def batches(self, texts: list[str], chars: int = 4_000_000):
         """Lists of memo entries, one list a text; the words of about ``chars`` characters are learnt together."""
