@@ -28,8 +28,8 @@ class EngineContext:
     def read_csv(self, path: str, **options) -> EngineFrame:
         return EngineFrame(sources.read_csv(self.spark, path, **options))
 
-    def read_tbl(self, path: str, schema) -> EngineFrame:
-        return EngineFrame(sources.read_tbl(self.spark, path, schema))
+    def read_tbl(self, path: str, schema, file_extension: str = ".tbl") -> EngineFrame:
+        return EngineFrame(sources.read_tbl(self.spark, path, schema, file_extension))
 
     def read_parquet(self, path: str) -> EngineFrame:
         return EngineFrame(sources.read_parquet(self.spark, path))

@@ -22,19 +22,48 @@ def as_column(value) -> Column:
 sum, avg, min, max, count, count_distinct = F.sum, F.avg, F.min, F.max, F.count, F.count_distinct
 
 sqrt, sin, cos, tan, asin, acos, atan = F.sqrt, F.sin, F.cos, F.tan, F.asin, F.acos, F.atan
-exp, ln, log, log2, log10, abs, signum, round = F.exp, F.ln, F.ln, F.log2, F.log10, F.abs, F.signum, F.round
+exp, abs, signum, round = F.exp, F.abs, F.signum, F.round
 lower, upper, trim, ltrim, rtrim, octet_length, md5 = F.lower, F.upper, F.trim, F.ltrim, F.rtrim, F.octet_length, F.md5
 nullif, array, extract, substring, year = F.nullif, F.array, F.extract, F.substring, F.year
 
 
+def _logarithm(fn, value: Column) -> Column:
+    """As IEEE arithmetic has it: minus infinity at 0, NaN below."""
+    value = value.cast("double")
+    return F.when(value > 0, fn(value)).when(value == 0, F.lit(float("-inf"))).when(value < 0, F.lit(float("nan")))
+
+
+def ln(value: Column) -> Column:
+    return _logarithm(F.ln, value)
+
+
+log = ln
+
+
+def log2(value: Column) -> Column:
+    return _logarithm(F.log2, value)
+
+
+def log10(value: Column) -> Column:
+    return _logarithm(F.log10, value)
+
+
+#: From here on every double is a whole number; NaN is above it too, in Spark's order.
+WHOLE = float(1 << 52)
+
+
+def _whole(fn, value: Column) -> Column:
+    """As double, like its argument; what has no digits behind the point, infinities and NaN stay as they are."""
+    value = value.cast("double")
+    return F.when(F.abs(value) >= WHOLE, value).otherwise(fn(value).cast("double"))
+
+
 def floor(value: Column) -> Column:
-    """As double, like its argument."""
-    return F.floor(value).cast("double")
+    return _whole(F.floor, value)
 
 
 def ceil(value: Column) -> Column:
-    """As double, like its argument."""
-    return F.ceil(value).cast("double")
+    return _whole(F.ceil, value)
 
 
 def trunc(value: Column) -> Column:

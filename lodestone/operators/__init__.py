@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions import as_column
 from lodestone.plans import explained
+from lodestone.types import DFSchema
 
 # fixed values: names of join types
 JOINS = {"inner": "inner", "left": "left_outer", "right": "right_outer", "full": "full_outer", "semi": "left_semi", "anti": "left_anti"}
@@ -75,16 +78,30 @@ class EngineFrame:
             on = on & p
         return EngineFrame(self.df.join(right.df, on, JOINS[join_type]))
 
+    def not_in(self, column: str, other: EngineFrame, other_column: str) -> EngineFrame:
+        """Rows whose column is NOT IN the other's, nulls as SQL has them: a null there leaves nothing, a null here stays only if the other is empty.
+
+        The keys are joined as distinct values, and what nulls decide is one row of counts; Spark's own plan for NOT IN would broadcast the other side at any size."""
+        keys = other.df.select(F.col(other_column).alias("_key"))
+        counted = lambda c: keys.agg(F.count(c)).scalar()
+        kept = self.df.join(keys.where("_key IS NOT NULL").distinct(), self.df[column] == F.col("_key"), "left_anti")
+        nulls, rows = counted(F.when(F.col("_key").isNull(), 1)), counted(F.lit(1))
+        return EngineFrame(kept.where((nulls == 0) & (self.df[column].isNotNull() | (rows == 0))))
+
     def repartition(self, to: Partitioning) -> EngineFrame:
         return EngineFrame(self.df.repartition(to.n, *to.columns))
 
     def merge(self) -> EngineFrame:
-        """All rows in one partition: for small results only."""
-        return EngineFrame(self.df.coalesce(1))
+        """All rows in one partition, after the work on them was done in as many as before: for small results only."""
+        return EngineFrame(self.df.repartition(1))
 
     def schema(self) -> T.StructType:
         return self.df.schema
 
+    def df_schema(self, qualifier: str | None = None) -> DFSchema:
+        """The schema with qualified fields."""
+        return DFSchema.of(self.df.schema, qualifier)
+
     def to_logical_plan(self) -> str:
         return explained(self.df)["logical"]
 
@@ -96,3 +113,14 @@ class EngineFrame:
 
     def collect(self) -> list[pa.RecordBatch]:
         return self.df.toArrow().to_batches()
+
+    def stream(self, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+        """The result batch by batch; the driver holds one partition at a time."""
+        schema, held = pa.schema(self.df.limit(0).toArrow().schema), []
+        for row in self.df.toLocalIterator(prefetchPartitions=True):
+            held.append(row.asDict())
+            if len(held) == rows:
+                yield pa.RecordBatch.from_pylist(held, schema)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.queries import corpus, relational, scalars  # noqa: F401  they register
+from lodestone.queries import corpus, files, relational, scalars  # noqa: F401  they register
 from lodestone.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -215,9 +215,35 @@ sql_query("join_disjunctive", "SELECT l_orderkey, p_brand FROM {lineitem}, {part
 # subqueries
 
 sql_query("subq_exists", "SELECT o_orderkey FROM {orders} WHERE EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
-sql_query("subq_not_exists", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)")
+sql_query("subq_not_exists", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 sql_query("subq_in", "SELECT p_partkey FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_discount > 0.09)")
-sql_query("subq_not_in", "SELECT s_suppkey FROM {supplier} WHERE s_suppkey NOT IN (SELECT l_suppkey FROM {lineitem} WHERE l_extendedprice < 1000)")
+
+
+@frame_query("subq_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 25)")
+def _(t):
+    return t.part.not_in("p_partkey", t.lineitem.filter(col("l_quantity") > 25), "l_partkey").select_columns("p_partkey")
+
+
+@frame_query("subq_not_in_with_nulls", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT nullif(l_partkey, 7) FROM lineitem)")
+def _(t):
+    return t.part.not_in("p_partkey", t.lineitem.select(L.nullif(col("l_partkey"), lit(7)).alias("k")), "k").select_columns("p_partkey")
+
+
+@frame_query("subq_not_in_nulls_left", "SELECT c_custkey FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer) AS c WHERE k NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def _(t):
+    return t.customer.select("c_custkey", L.nullif(col("c_nationkey"), lit(3)).alias("k")).not_in("k", t.nation.filter(col("n_regionkey") == 1), "n_nationkey").select_columns("c_custkey")
+
+
+@frame_query("subq_not_in_nothing", "SELECT c_custkey FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer) AS c WHERE k NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey > 99)")
+def _(t):
+    return t.customer.select("c_custkey", L.nullif(col("c_nationkey"), lit(3)).alias("k")).not_in("k", t.nation.filter(col("n_regionkey") > 99), "n_nationkey").select_columns("c_custkey")
+
+
+@frame_query("join_full", "SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_nationkey < 3) AS c FULL JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) AS o ON c_custkey = o_custkey")
+def _(t):
+    return t.customer.filter(col("c_nationkey") < 3).join(t.orders.filter(col("o_totalprice") > 400000), ["c_custkey"], ["o_custkey"], "full").select_columns("c_custkey", "o_orderkey")
+
+
 sql_query("subq_scalar", "SELECT c_custkey FROM {customer} WHERE c_acctbal > (SELECT max(c_acctbal) * 0.9 FROM {customer})")
 sql_query("subq_scalar_correlated", "SELECT l_orderkey, l_partkey, l_quantity FROM {lineitem} a WHERE l_quantity = (SELECT max(l_quantity) FROM {lineitem} b WHERE b.l_partkey = a.l_partkey)")
 sql_query("subq_exists_unequal", "SELECT DISTINCT a.l_orderkey FROM {lineitem} a WHERE EXISTS (SELECT 1 FROM {lineitem} b WHERE b.l_orderkey = a.l_orderkey AND b.l_suppkey <> a.l_suppkey) AND a.l_returnflag = 'R'")
@@ -235,9 +261,10 @@ def _(t):
     return t.orders.sort(F.desc("o_totalprice"), F.asc("o_orderkey")).limit(25).select_columns("o_orderkey", "o_totalprice")
 
 
-@frame_query("limit_rows", "SELECT count(*) AS n FROM (SELECT * FROM orders LIMIT 100) AS x")
+@frame_query("limit_rows", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS different, CAST(100 AS BIGINT) AS known FROM (SELECT * FROM orders LIMIT 100) AS x")
 def _(t):
-    return t.orders.limit(100).aggregate([], [L.count("*").alias("n")])
+    some = t.orders.limit(100).df  # any hundred rows, all of the table
+    return some.join(t.orders.df.select(col("o_orderkey").alias("k")), col("k") == col("o_orderkey"), "left").agg(L.count("*").alias("n"), L.count_distinct("o_orderkey").alias("different"), L.count("k").alias("known"))
 
 
 @frame_query("part_hash", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey")

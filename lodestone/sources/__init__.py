@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.types import Schema
 
-# fixed values: compressions of Parquet output
+# fixed values: compressions of Parquet output; those with a codec class need a jar that Spark doesn't bring
 COMPRESSIONS = ("none", "snappy", "brotli", "gzip", "lz4", "lzo", "zstd")
+CODECS = {"brotli": "org.apache.hadoop.io.compress.BrotliCodec", "lzo": "com.hadoop.compression.lzo.LzoCodec"}
 
 
 def located(path: str) -> str:
@@ -20,6 +24,22 @@ def located(path: str) -> str:
     return path if "://" in path or path.startswith("file:") else os.path.abspath(path)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir; where it is unset a temporary one, which only a local session can use."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("executors need a shared folder: set spark.checkpoint.dir")
+        at = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, under the name of the application that owns it."""
+    return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def _struct(schema: Schema | T.StructType | str | None) -> T.StructType | str | None:
     return schema.spark if isinstance(schema, Schema) else schema
 
@@ -41,9 +61,9 @@ def read_csv(spark: SparkSession, path: str, has_header: bool = True, delimiter:
     return reader.schema(schema).csv(path)
 
 
-def read_tbl(spark: SparkSession, path: str, schema: Schema | T.StructType | str) -> DataFrame:
+def read_tbl(spark: SparkSession, path: str, schema: Schema | T.StructType | str, file_extension: str = ".tbl") -> DataFrame:
     """Text with | between and after the fields, without a header."""
-    return read_csv(spark, path, False, "|", ".tbl", schema)
+    return read_csv(spark, path, False, "|", file_extension, schema)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -85,9 +105,24 @@ def write_csv(df: DataFrame, path: str, has_header: bool = True, delimiter: str
 def write_parquet(df: DataFrame, path: str, compression: str = "snappy") -> None:
     if compression not in COMPRESSIONS:
         raise ValueError(f"no compression is named {compression!r}")
+    if compression in CODECS:
+        try:
+            df.sparkSession._jvm.org.apache.spark.util.Utils.classForName(CODECS[compression], True, False)
+        except Exception as e:
+            raise ValueError(f"{compression} needs {CODECS[compression]}, which isn't on the class path") from e
     df.write.option("compression", compression).parquet(located(path))
 
 
+def write_tbl(df: DataFrame, path: str) -> None:
+    """Text with | after every field; null as nothing. The files end in .txt."""
+    df.select(F.concat(*[F.concat(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|")) for c in df.columns]).alias("value")).write.text(located(path))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """An object a line."""
+    df.write.json(located(path))
+
+
 def convert(spark: SparkSession, source: str, target: str, schema: Schema | T.StructType | str, file_format: str = "parquet", compression: str = "snappy", partitions: int | None = None, delimiter: str = "|", file_extension: str = ".tbl") -> None:
     """Delimited text to Parquet or CSV, dealt to a number of files in turn if one is given."""
     df = read_csv(spark, source, False, delimiter, file_extension, schema)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # fixed values: the accepted names of primitive types
@@ -118,6 +120,10 @@ class DFSchema:
         if len(set(names)) < len(names):
             raise ValueError("two fields have one name")
 
+    @staticmethod
+    def of(schema: T.StructType, qualifier: str | None = None) -> DFSchema:
+        return DFSchema(*map(Field.of, schema), qualifier=qualifier)
+
     def join(self, other: DFSchema) -> DFSchema:
         return DFSchema(*self.fields, *other.fields)
 
@@ -140,11 +146,16 @@ LargeList = List
 
 
 def FixedSizeList(item: Field, size: int) -> DataType:
-    """An array; check_size holds columns to the length."""
+    """An array; check_size holds a column of it to the length."""
     _sized(size)
     return List(item)
 
 
+def check_size(column: Column, size: int) -> Column:
+    """The arrays of the column, an error where one has another length; null stays null."""
+    return F.when(F.size(column) == _sized(size), column).when(column.isNotNull(), F.raise_error(F.format_string("an array of %d values where %d are due", F.size(column), F.lit(size))))
+
+
 def FixedSizeBinary(size: int) -> DataType:
     _sized(size)
     return DataType(T.BinaryType())

@@ -38,9 +38,6 @@ def oracle(sf):
 def test_query(spark, sf, oracle, name):
     df = QUERIES[name](spark, sf)
     columns, rows = table(df.columns, df.collect())
-    if name not in ORACLES:
-        assert len(rows) == 150
-        return
     found = oracle.execute(ORACLES[name])
     want_columns, want = table([d[0] for d in found.description], found.fetchall())
     assert columns == want_columns
