@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.sources import scratch
+
 #: ASCII white space of the word definition [^\x20\x09-\x0D]+.
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows of an Arrow batch that are Python objects at any one time.
@@ -19,19 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet into the shared folder and read back: a cut of lineage that survives lost executors."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    at = scratch(spark, name)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
