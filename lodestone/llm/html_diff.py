@@ -1,20 +1,24 @@
 """HTML extraction: page structure first, then nearest-URL page differencing.
 
 A page's blocks are sorted by the markup into boilerplate (menus, footers, adverts, forms, comments, ..., and what lies
-outside a declared region), article (inside an article element) and undecided (inside a main element, a role of main or
-an element named as content, which often wrap menus as well; all of a page that declares no region). Only undecided
-blocks are differenced: such pages are sorted by host and URL path, each is paired with the neighbour of the same host whose path
-shares the longest prefix, their lines are aligned by longest common subsequence, and shared lines are deleted.
+outside the declared region), article (inside an article element) and undecided (the rest of a main element, of a role
+of main or of an element named as content, which often wrap menus as well; all of a page that declares no region).
+All pages are then sorted by host and URL path, each is paired with the neighbour of the same host whose path shares
+the longest prefix, their lines are aligned by longest common subsequence, and shared lines that are undecided are
+deleted. Shared lines of an article element stay: a passage that two articles share is still text of both.
 
 Copies are passed over to the nearest page with a different text. Pages of a host with the same lines count as one. A
 neighbour that shares COPY percent of both pages' characters is used only if none of the REACH neighbours on either side
 shares less, and the path differs in more than its query: then it is a long template, and the one that shares least is
-taken. A neighbour is never used where nothing would be left of one of the two. Article elements are never
-differenced: a passage that two articles share is still text of both.
+taken. A neighbour is never used where nothing would be left of one of the two.
+
+Outside an article, one word of an element's class or id marks it as boilerplate; inside, all words of the name must be
+such words or neutral ones (comments, ad-box, but neither related-work nor social-history).
 
 Defined results: null html is an empty page (text '', n_chars 0); a null url pairs with no page; repeated ids and
-repeated pages are extracted row by row; broken or unclosed markup is closed as browsers do; an empty table gives an
-empty result; other columns are ignored.
+repeated pages are extracted row by row; broken or unclosed markup is closed as browsers do; a very long page takes time
+in proportion to its length, whatever its markup; of two neighbours that are equally near the earlier one counts, and
+equal paths are in order of a digest of their lines; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +37,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import ROWS, batch, map_rows, stored, table
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
-ATTR = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: The same without regard to quotes, for what follows a quote that never ends.
+UNQUOTED = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+ATTR = re.compile(r"""(?<![a-zA-Z_:-])([a-zA-Z_:-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 RAW = frozenset("script style noscript template textarea iframe xmp noembed noframes title".split())
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,12 +50,15 @@ BLOCK = frozenset(
 HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the first kind ends when one of the second starts (unless a boundary lies between).
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+IMPLIES = {new: ["p", *(old for old, by in IMPLIED.items() if new in by)] for new in BLOCK}
 BOUNDARY = frozenset("ul ol dl table select div section article main body blockquote nav aside footer header form".split())
 NOISE = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense adslot adbox banner promo promotion promoted sponsor sponsored sponsors sidebar sidenav menu navmenu nav navbar navigation topnav
     breadcrumb breadcrumbs masthead footer header topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup signin login register
     comment comments commentlist disqus respond reply replies discussion related recommended recommendations share sharing social widget toolbar pagination pager copyright disclaimer skip tags taboola outbrain alert paywall""".split()
 )
+#: Words that may stand beside a boilerplate word in a name inside an article.
+NEUTRAL = frozenset("area bar block body bottom box button buttons container content count div form group heading holder icons inline inner item items label left link links list module outer panel post posts right section slot stories text thread title top unit wrap wrapper".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MAIN_NAMES = frozenset("content article post entry story maincontent articlebody articlecontent postcontent entrycontent postbody".split())
 WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
@@ -72,8 +81,8 @@ def _attrs(raw: str) -> dict[str, str]:
     return out
 
 
-def _noisy(tag: str, raw: str) -> tuple[bool, bool]:
-    """Whether an element is boilerplate by its own attributes, and whether they name it as main content."""
+def _noisy(tag: str, raw: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is boilerplate by its own attributes (it may lie inside an article), and whether they name it as main content."""
     if not raw or raw.isspace():
         return False, False
     a, low = _attrs(raw), raw.lower()
@@ -81,16 +90,52 @@ def _noisy(tag: str, raw: str) -> tuple[bool, bool]:
         return True, False
     names = f"{a.get('class', '')} {a.get('id', '')}"
     main = a.get("role", "").lower() == "main" or any(re.sub("[-_]", "", n.lower()) in MAIN_NAMES for n in names.split())
-    noisy = any(w.lower() in NOISE for n in names.split() for w in WORDS.findall(n))
+    words = [[w.lower() for w in WORDS.findall(n)] for n in names.split()]
+    noisy = any(any(w in NOISE for w in ws) and (not inside or all(w in NOISE or w in NEUTRAL for w in ws)) for ws in words)
     return noisy and not main and tag not in ("html", "body", "main"), main
 
 
+#: What a block lies in, as bits of its region.
+NAMED, MAIN, IN_ARTICLE = 1, 2, 4
+
+
+class _Stack:
+    """The open elements, with the places of each tag and of the elements that end a search."""
+
+    def __init__(self) -> None:
+        self.all: list[_Open] = []
+        self.at: dict[str, list[int]] = {}
+        self.boundaries: list[int] = []
+        self.blocks: list[int] = []
+
+    def last(self, tag: str) -> int:
+        places = self.at.get(tag)
+        return places[-1] if places else -1
+
+    def push(self, o: _Open) -> None:
+        i = len(self.all)
+        self.all.append(o)
+        self.at.setdefault(o.tag, []).append(i)
+        if o.tag in BOUNDARY:
+            self.boundaries.append(i)
+        if o.tag in BLOCK:
+            self.blocks.append(i)
+
+    def pop(self) -> _Open:
+        o, i = self.all.pop(), len(self.all)
+        self.at[o.tag].pop()
+        for places in (self.boundaries, self.blocks):
+            if places and places[-1] == i:
+                places.pop()
+        return o
+
+
 def blocks(page: str) -> list[tuple[str, int, int]]:
-    """(text, kind, rank) of each non-empty block in page order. rank: 3 in an article element, 2 in main, 1 in an element named as content, 0 elsewhere."""
+    """(text, kind, region) of each non-empty block in page order."""
     out: list[tuple[str, int, int]] = []
-    stack: list[_Open] = []
+    stack = _Stack()
     text: list[str] = []
-    now = _Open("", False, 0, False)
+    outside = now = _Open("", False, 0, False)
 
     def flush() -> None:
         if text:
@@ -101,35 +146,39 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
 
     def close(to: int) -> None:
         nonlocal now
-        if any(o.tag in BLOCK or o.skip != (stack[to - 1].skip if to else False) for o in stack[to:]):
+        below = stack.all[to - 1] if to else outside
+        if any(o.tag in BLOCK or o.skip != below.skip for o in stack.all[to:]):
             flush()
-        del stack[to:]
-        now = stack[-1] if stack else _Open("", False, 0, False)
+        while len(stack.all) > to:
+            stack.pop()
+        now = below
 
-    at = 0
+    at, end, token = 0, page.rfind(">"), TOKEN
     while at < len(page):
-        m = TOKEN.search(page, at)
+        m = token.search(page, at) if at <= end or page.find("<!--", at) >= 0 else None
         if not m:
             text.append(page[at:])
             break
         if m.start() > at:
             text.append(page[at : m.start()])
         at = m.end()
-        ending, tag, raw = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if token is TOKEN and m[5]:
+            token = UNQUOTED
+            ending, tag, raw = m[4], m[5], m[6]
+        else:
+            ending, tag, raw = m[1], m[2], m[3]
         if not tag:
             continue
         tag = tag.lower()
         if ending:
-            i = len(stack) - 1
-            while i >= 0 and stack[i].tag != tag:
-                i -= 1
-            if i >= 0 and not (tag in ("b", "i", "em", "strong", "a", "span", "font") and any(o.tag in BLOCK for o in stack[i + 1 :])):
+            i = stack.last(tag)
+            if i >= 0 and not (tag in ("b", "i", "em", "strong", "a", "span", "font") and stack.blocks and stack.blocks[-1] > i):
                 close(i)
             elif tag == "p":
                 flush()
             continue
         if tag in RAW and not raw.rstrip().endswith("/"):
-            e = RAW_END[tag].search(page, at)
+            e = RAW_END[tag].search(page, at) if at <= end else None
             at = e.end() if e else len(page)
             continue
         if tag in VOID:
@@ -139,21 +188,15 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
                 text.append("\n" if tag == "br" else "")
             continue
         if tag in BLOCK:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == "p" or tag in IMPLIED.get(stack[i].tag, ()):
-                    close(i)
-                    break
-                if stack[i].tag in BOUNDARY:
-                    break
+            i = max(map(stack.last, IMPLIES[tag]))
+            if i >= 0 and i >= (stack.boundaries[-1] if stack.boundaries else 0):
+                close(i)
             flush()
-        if tag == "body":  # a head left open ends here
-            for i, o in enumerate(stack):
-                if o.tag == "head":
-                    close(i)
-                    break
+        if tag == "body" and stack.last("head") >= 0:  # a head left open ends here
+            close(stack.at["head"][0])
         if raw.rstrip().endswith("/") and tag not in BLOCK:
             continue
-        noisy, main = _noisy(tag, raw)
+        noisy, named = _noisy(tag, raw, bool(now.main & IN_ARTICLE))
         skip = now.skip or noisy or tag in DROP
         header = now.header or tag == "header"
         if tag == "header" and not now.main:
@@ -162,18 +205,21 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
             skip = True  # what an article's own header holds besides headings
         if skip != now.skip:
             flush()
-        rank = max(now.main, 0 if skip else 3 if tag == "article" else 2 if tag == "main" else 1 if main else 0)
-        stack.append(_Open(tag, skip, rank, header))
-        now = stack[-1]
+        region = now.main | (0 if skip else IN_ARTICLE if tag == "article" else MAIN if tag == "main" else NAMED if named else 0)
+        stack.push(_Open(tag, skip, region, header))
+        now = stack.all[-1]
     flush()
     return out
 
 
-def decided(found: list[tuple[str, int, int]]) -> tuple[list[str], list[int], bool]:
-    """Lines with their kinds, and whether the page declares its article by an article element; a region declared otherwise stays undecided."""
-    top = max((r for _, k, r in found if k != BOILER), default=0)
-    kept = ARTICLE if top == 3 else UNDECIDED
-    return [t for t, _, _ in found], [kept if k != BOILER and r >= top else BOILER for _, k, r in found], top == 3
+def decided(found: list[tuple[str, int, int]]) -> tuple[list[str], list[int]]:
+    """Lines with their kinds. The declared region is the main element with all articles, or the articles alone, or what is named as content, or the whole page."""
+    seen = 0
+    for _, k, r in found:
+        if k != BOILER:
+            seen |= r
+    region = MAIN | IN_ARTICLE if seen & MAIN else IN_ARTICLE if seen & IN_ARTICLE else NAMED if seen & NAMED else 0
+    return [t for t, _, _ in found], [BOILER if k == BOILER or region and not r & region else ARTICLE if r & IN_ARTICLE else UNDECIDED for _, k, r in found]
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
@@ -254,27 +300,28 @@ def split_url(url: str | None) -> tuple[str | None, str]:
         return None, ""
 
 
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("lines", pa.list_(pa.string())), ("host", pa.string()), ("path", pa.string()), ("marks", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("print", pa.binary())])
-PARSED = "page_id long, url string, lines array<string>, host string, path string, marks array<long>, sizes array<int>, print binary"
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("lines", pa.list_(pa.string())), ("host", pa.string()), ("path", pa.string()), ("marks", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("print", pa.binary()), ("open", pa.list_(pa.int32()))])
+PARSED = "page_id long, url string, lines array<string>, host string, path string, marks array<long>, sizes array<int>, print binary, open array<int>"
 _GONE = pa.schema([("host", pa.string()), ("print", pa.binary()), ("gone", pa.list_(pa.int32()))])
 GONE = "host string, print binary, gone array<int>"
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The lines of every page that its markup leaves; of a page to be differenced also host, path, hashes and lengths of its lines, and a digest of them all."""
+    """The lines of every page that its markup leaves; of a page with a host also host, path, hashes and lengths of its lines, a digest of them all, and the places of undecided lines."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for i, u, h in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            lines, kinds, settled = decided(blocks(h or ""))
-            lines = [t for t, k in zip(lines, kinds, strict=True) if k != BOILER]
+            left = [(t, k) for t, k in zip(*decided(blocks(h or "")), strict=True) if k != BOILER]
+            lines = [t for t, _ in left]
             host, path = split_url(u)
-            if settled or not lines or host is None:
-                rows.append((i, u, lines, *[None] * 5))
+            if not lines or host is None:
+                rows.append((i, u, lines, *[None] * 6))
             else:
                 marks = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in lines]
-                rows.append((i, u, lines, host, path, [int.from_bytes(m, "little", signed=True) for m in marks], [len(t) for t in lines], hashlib.blake2b(b"".join(marks), digest_size=16).digest()))
-        return batch(_PARSED, *(list(zip(*rows, strict=True)) or [[]] * 8))
+                undecided = [n for n, (_, k) in enumerate(left) if k == UNDECIDED]
+                rows.append((i, u, lines, host, path, [int.from_bytes(m, "little", signed=True) for m in marks], [len(t) for t in lines], hashlib.blake2b(b"".join(marks), digest_size=16).digest(), undecided))
+        return batch(_PARSED, *(list(zip(*rows, strict=True)) or [[]] * 9))
 
     return map_rows(pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string")), run, PARSED)
 
@@ -324,9 +371,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars) of every page."""
     found = stored(parsed(pages, id_col, url_col, html_col), "parsed")
     out = [F.concat_ws("\n", "lines").alias("text"), F.char_length(F.concat_ws("\n", "lines")).cast("long").alias("n_chars")]
-    rest = found.where("print is not null").select("page_id", "url", "lines", "host", "print").join(deletions(found).hint("merge"), ["host", "print"], "left")
-    rest = rest.select("page_id", "url", F.expr("if(gone is null, lines, filter(lines, (x, i) -> not array_contains(gone, i)))").alias("lines"))
-    return found.where("print is null").select("page_id", "url", *out).unionByName(rest.select("page_id", "url", *out))
+    # a page without undecided lines is a neighbour to others, but nothing of it can go: its lines move nowhere
+    undecided = "print is not null and size(open) > 0"
+    rest = found.where(undecided).select("page_id", "url", "lines", "host", "print", "open").join(deletions(found).hint("merge"), ["host", "print"], "left")
+    rest = rest.select("page_id", "url", F.expr("if(gone is null, lines, filter(lines, (x, i) -> not (array_contains(gone, i) and array_contains(open, i))))").alias("lines"))
+    return found.where(f"not ({undecided})").select("page_id", "url", *out).unionByName(rest.select("page_id", "url", *out))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
