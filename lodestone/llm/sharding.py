@@ -3,7 +3,8 @@
 Shard j prefers the slots of a table of prime size M in the order (offset_j + i * skip_j) mod M; as M is prime, that is
 a permutation of all slots. The shards take turns, each claiming the first free slot of its order, until the table is
 full, so that any two shards' slots differ by one in number at most, and few slots change hands when a shard comes or
-goes. The table has M rows, whatever the data: it is broadcast, and a row's place is one look-up by the hash of its key.
+goes. A claim costs the square root of M, the filling of the table M times that. The table has M rows, whatever the
+data: it is broadcast, and a row's place is one look-up by the hash of its key.
 
 Defined results: a null key is hashed as ''; rows with equal keys get the same shard; an empty table gives an empty
 result; ``place`` keeps further columns.
@@ -29,9 +30,18 @@ def lookup(spark: SparkSession, shards: int = SHARDS, slots: int = SLOTS) -> Dat
         raise ValueError(f"{slots} slots for {shards} shards: a prime above the number of shards is needed")
     names = f"transform(sequence(0, {shards - 1}), j -> concat('shard-', j))"
     one = spark.range(1).selectExpr(f"transform({names}, s -> {_number('concat(s, chr(58), chr(111))')} % {slots}) AS off", f"transform({names}, s -> 1 + {_number('concat(s, chr(58), chr(115))')} % {slots - 1}) AS skip")
-    claim = f"(off[t % {shards}] + filter(sequence(0L, {slots - 1}L), i -> tab[cast((off[t % {shards}] + i * skip[t % {shards}]) % {slots} AS int)] < 0)[0] * skip[t % {shards}]) % {slots}"
-    fold = f"aggregate(sequence(0, {slots - 1}), array_repeat(-1, {slots}), (tab, t) -> transform(array({claim}), c -> transform(tab, (v, j) -> if(j = c, t % {shards}, v)))[0])"
-    return one.selectExpr(f"posexplode({fold}) AS (_slot, _shard)").selectExpr("cast(_slot AS long) AS _slot", "cast(_shard AS long) AS _shard")
+    # the table and the shards' places in their orders are arrays of arrays, so that a claim rewrites a row of each alone
+    wide, long = int(slots**0.5) + 1, int(shards**0.5) + 1
+    free = f"i -> s.tab[cast((off[t % {shards}] + i * skip[t % {shards}]) % {slots} AS int) div {wide}][cast((off[t % {shards}] + i * skip[t % {shards}]) % {slots} AS int) % {wide}] < 0"
+    begin = f"s.nxt[(t % {shards}) div {long}][(t % {shards}) % {long}]"
+    # most claims succeed within a few steps; the whole rest of the order is looked at only where they don't
+    step = f"coalesce(get(filter(sequence({begin}, least({begin} + 31, {slots - 1})), {free}), 0), get(filter(sequence({begin}, {slots - 1}), {free}), 0))"
+    put = lambda rows, at, size, value: f"transform({rows}, (r, k) -> if(k = {at} div {size}, transform(r, (x, q) -> if(q = {at} % {size}, {value}, x)), r))"
+    claimed = f"cast((off[t % {shards}] + i * skip[t % {shards}]) % {slots} AS int)"
+    claim = f"transform(array({step}), i -> transform(array({claimed}), c -> struct({put('s.tab', 'c', wide, f't % {shards}')} AS tab, {put('s.nxt', f'(t % {shards})', long, 'i + 1')} AS nxt))[0])[0]"
+    empty = f"struct(array_repeat(array_repeat(-1, {wide}), {wide}) AS tab, array_repeat(array_repeat(0L, {long}), {long}) AS nxt)"
+    fold = f"flatten(aggregate(sequence(0, {slots - 1}), {empty}, (s, t) -> {claim}).tab)"
+    return one.selectExpr(f"posexplode(slice({fold}, 1, {slots})) AS (_slot, _shard)").selectExpr("cast(_slot AS long) AS _slot", "cast(_shard AS long) AS _shard")
 
 
 def place(rows: DataFrame, key_col: str, shards: int = SHARDS, slots: int = SLOTS, slot_name: str = "slot", shard_name: str = "shard") -> DataFrame:
