@@ -9,8 +9,11 @@ TABLES with 0.003; closer pairs are missed less still.
 Equal vectors of one label form a class and only its representative (the smallest id) is hashed, with the number of
 ids that it stands for. Cells that one representative alone enters are left out before any vector is moved. Larger
 cells than CHUNK are cut into chunks by a hash of the id, and each pair of chunks is a task unit of its own, so that
-no group is held as a whole. Inside a unit the cosines are a matrix product; what leaves it are sums by vector and a
-star for each local component, never the pairs. A pair that meets in several cells counts in the one of the smallest key.
+no group is held as a whole. As every vector's links are to be counted, all different vectors of a cell meet, and a
+cell of n of them sends each to n / CHUNK units. Inside a unit the cosines are a matrix product; what leaves it are sums by vector and a
+star for each local component, never the pairs. A pair that meets in several cells counts in the one of the smallest
+key. A product so near the threshold that its rounding matters is summed up again in a fixed order, so that the verdict
+doesn't depend on the unit's shape; a cosine of exactly the threshold links.
 
 Defined results: a null label, a null, empty or zero vector and one with null or non-finite components link with
 nothing, count 0 links, are their own component and kept; vectors of different lengths are not compared; rows with one
@@ -34,7 +37,7 @@ from lodestone.llm.common import stored, table
 from lodestone.llm.components import components, stars
 from lodestone.llm.shingles import mixed
 
-COSINE, TABLES, BLOCKS, PROBES, WIDTH, CHUNK, SEED = 0.93, 6, 2, 4, 2.0, 512, 8
+COSINE, TABLES, BLOCKS, PROBES, WIDTH, CHUNK, SEED = 0.93, 6, 2, 4, 2.0, 1024, 8
 
 
 @lru_cache(maxsize=1)
@@ -164,11 +167,15 @@ def _compared(cell: np.uint64, crossed: bool, rows: list[tuple], cosine: float)
         first, second = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if crossed else (np.arange(len(group)),) * 2
         if not len(first) or not len(second):
             continue
-        near = unit[first] @ unit[second].T >= cosine
+        product = unit[first] @ unit[second].T
+        near = product >= cosine - 1e-9
         if not crossed:
             near = np.triu(near, 1)
         p, q = np.nonzero(near)
         i, j = first[p], second[q]
+        sure = product[p, q] > cosine + 1e-9
+        sure[~sure] = (unit[i[~sure]] * unit[j[~sure]]).sum(1) >= cosine
+        i, j = i[sure], j[sure]
         same = label[i] == label[j]  # cells of two labels meet only if their keys collide
         i, j = i[same & (rep[i] != rep[j])], j[same & (rep[i] != rep[j])]
         if not len(i):
@@ -212,7 +219,7 @@ def _units(cosine: float):
 
 def near_duplicates(rows: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
-    own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("vector"))
+    own = rows.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(label_col).isNotNull(), F.xxhash64(F.col(label_col).cast("string"))).alias("label"), F.col(vector_col).alias("vector"))
     packed = stored(own.mapInArrow(_packed, PACKED).withColumn("print", F.sha2("vector", 256)), "vectors")
     members = packed.select("id", "label", "print").distinct()
     classes = members.groupBy("label", "print").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))

@@ -101,6 +101,7 @@ def test_quality_keeps_good_and_rejects_bad(spark, sf):
     out = quality.score(docs, quality.trusted_ratios(spark, docs, "/root/testdata/sf0.01"))
     by = {r["quality"]: (r["n"], r["k"]) for r in out.join(table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("k")).collect()}
     assert by[1][1] >= 0.95 * by[1][0]
+    assert by[0][1] <= 0.3 * by[0][0]
 
 
 # 6: tokens
@@ -132,6 +133,48 @@ def test_bpe_random_bytes():
     assert got == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_small_automaton_is_complete():
+    """All arcs of a small vocabulary's automaton against merging by rank."""
+    from itertools import product
+
+    rng = random.Random(6)
+    for _ in range(12):
+        labels = {i: bytes([97 + i]) for i in range(3)}
+        merges, corpus = [], [[rng.randrange(3) for _ in range(rng.randint(2, 12))] for _ in range(30)]
+
+        def merged(word, u, v, w):
+            out, i = [], 0
+            while i < len(word):
+                two = word[i : i + 2] == [u, v]
+                out.append(w if two else word[i])
+                i += 2 if two else 1
+            return out
+
+        while len(merges) < 9:
+            pairs = Counter(p for w in corpus for p in zip(w, w[1:], strict=False))
+            (u, v), n = max(pairs.items(), key=lambda x: (x[1], x[0])) if pairs else ((0, 0), 0)
+            if n < 2:
+                break
+            w = len(labels)
+            labels[w] = labels[u] + labels[v]
+            merges.append((u, v, w))
+            corpus = [merged(x, u, v, w) for x in corpus]
+        if len(set(labels.values())) < len(labels):
+            continue
+        a = bpe_automaton.Automaton.of(labels, merges)
+        states = a.complete()
+        arcs = dict(a.arcs)
+        assert len(arcs) == 4 * states
+        for n in range(1, 8):
+            for word in product(range(3), repeat=n):
+                want = list(word)
+                for u, v, w in merges:
+                    want = merged(want, u, v, w)
+                raw = b"".join(labels[i] for i in word)
+                assert a.encode_word(raw) == want and a.decode(want) == raw
+        assert a.arcs == arcs  # nothing was left to compose
+
+
 # 7: secrets
 
 
@@ -163,6 +206,24 @@ def test_entropy_adds_and_allow_list_suppresses():
     assert secret_scan.redacted("token=abcdefgh and more") == "[SECRET] and more"
 
 
+def test_links_of_any_length_and_long_texts():
+    import time
+
+    token = "qW3rT9zXv8Lk2Jh5Gf7Ds1Aq4Pw6"
+    for link in ("https://a.example/?q=" + "a.b&" * 300, "www.a.example/" + "x," * 500, "http://" + "word.," * 100):
+        assert secret_scan.find(link + token) == [] and [s[2] for s in secret_scan.find(f"{link} {token}")] == ["entropy_mixed"]
+        assert secret_scan.find(f"{link}{token},{token}") == []
+    assert len(secret_scan.find(f"{token},{token}")) == 2 and len(secret_scan.find(f"x.www.{token}")) == 1
+    took = []
+    for n in (1, 4):
+        rng = random.Random(n)
+        text = " ".join("".join(rng.choices("0123456789abcdef", k=30)) + f" {token[::-1]}." for _ in range(4000 * n))
+        began = time.process_time()
+        assert len(secret_scan.find(text)) == 8000 * n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_random_tokens_of_few_digits_are_found():
     rng, lost = random.Random(3), 0
     for n in (20, 24, 32) * 200:
@@ -347,6 +408,14 @@ def test_lattice_points():
     assert all((d <= ((x - p - r) ** 2).sum(1) + 1e-9).all() for r in lattice.roots())
 
 
+def test_lattice_labels_of_any_type_and_ties(spark):
+    v = [0.93, (1 - 0.93**2) ** 0.5]
+    rows = [(1, [1.0, 0.0], "a"), (2, v, "a"), (3, v, "b"), (4, [1.0, 0.0], None)]
+    got = {r["vec_id"]: r["n_links"] for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    linked = int(sum(x * y for x, y in zip(lattice._unit(np.array([v]))[0], (1.0, 0.0), strict=True)) >= 0.93)
+    assert got == {1: linked, 2: linked, 3: 0, 4: 0}
+
+
 def test_lattice_odd_rows(spark):
     v, w = [1.0, 2.0, 3.0], [3.0, -2.0, 1.0]
     rows = [(1, v, 1), (1, v, 1), (2, v, 1), (3, w, 1), (2, w, 1), (None, v, 1), (4, v, 2)]
@@ -361,11 +430,80 @@ def test_html_markup():
     page = """<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li>Home</li></ul></nav><div class="cookie-notice">We use cookies</div>
     <main><article><header><h1>Big &amp; bold</h1><p class="byline">By me</p></header><p>First   para&nbsp;one<br>two</p><script>x()</script><div class="ad-box">Buy</div>
     <ul><li>a<li>b</ul><aside>side</aside></article><section id="comments"><p>nice!</p></section></main><footer>foot</footer></body></html>"""
-    lines, kinds, settled = html_diff.decided(html_diff.blocks(page))
-    assert settled
+    lines, kinds = html_diff.decided(html_diff.blocks(page))
     assert [t for t, k in zip(lines, kinds, strict=True) if k] == ["Big & bold", "First para one two", "a", "b"]
 
 
+def test_html_regions_and_names():
+    left = lambda page: [t for t, k in zip(*html_diff.decided(html_diff.blocks(page)), strict=True) if k]
+    assert left("<main><p>Intro</p><article><p>Body</p></article><p>after</p></main><p>out</p>") == ["Intro", "Body", "after"]
+    assert left("<p>out</p><article><section id='related-work'>R</section><div class='social-history'>S</div><div class='ad-box'>A</div><div id=comments>C</div></article>") == ["R", "S"]
+    assert left("<div class='related-work'>R</div><p>kept</p>") == ["kept"]
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a '\"", "<script ", "</b>", "<b><div>", "<span>", "<h1>", "<!--", "<a b", "</div><p>", "<x y=", "<body>", "&amp", "<a b='>"])
+def test_html_broken_pages_take_linear_time(part):
+    import time
+
+    for page in (part * (1_000_000 // len(part)), "<b>" + "<div>" * 100_000 + part * (500_000 // len(part)), part * (1_000_000 // len(part)) + ">", f"<a {part * (1_000_000 // len(part))}>"):
+        began = time.process_time()
+        html_diff.decided(html_diff.blocks(page))
+        assert time.process_time() - began < 8, page[:50]
+
+
+def slow_extract(rows):
+    """Every page against its nearest by plain loops."""
+    from urllib.parse import urlsplit
+
+    def lcs(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    pages = []
+    for i, u, h in rows:
+        left = [x for x in zip(*html_diff.decided(html_diff.blocks(h)), strict=True) if x[1]]
+        pages.append((i, urlsplit(u).hostname, urlsplit(u).path, left))
+    out = {}
+    for i, host, path, left in pages:
+        others = sorted(o for o in pages if o[1] == host and o[0] != i)
+        common = lambda o: next((k for k, (x, y) in enumerate(zip(path, o[2])) if x != y), min(len(path), len(o[2])))
+        lines = [t for t, _ in left]
+        if not others:
+            out[i] = "\n".join(lines)
+            continue
+        nearest = max(map(common, others))
+        ways = set()
+        for o in others:
+            if common(o) == nearest:
+                there = [t for t, _ in o[3]]
+                shared = set(lines) & set(there)  # lines of a test page differ, and shared ones keep their order
+                assert len(shared) == lcs(lines, there)
+                ways.add("\n".join(t for t, k in left if t not in shared or k == html_diff.ARTICLE))
+        out[i] = ways
+    return out
+
+
+def test_html_against_brute_force(spark):
+    rng, rows = random.Random(8), []
+    for host in range(6):
+        menu, notice, foot = prose(3), prose(6), prose(4)
+        for k in range(9):
+            own = [prose(12) for _ in range(3)]
+            shared = "Shared passage of two articles"
+            wrap = rng.choice(["<main>{}</main>", "<div id=content>{}</div>", "{}", "<div role=main>{}</div>"])
+            inner = f"<p>{menu}</p><p>{own[0]}</p><article><p>{own[1]}</p><p>{shared}</p></article><p>{notice}</p>" if rng.random() < 0.4 else f"<div>{menu}</div><p>{own[0]}</p><p>{own[1]}</p><p>{own[2]}</p><p>{notice}</p>"
+            rows.append((len(rows), f"https://h{host}.org/{rng.choice('ab')}/{rng.randrange(10**6)}", f"<body><nav>x</nav>{wrap.format(inner)}<footer>{foot}</footer></body>"))
+    want = slow_extract(rows)
+    for parts in (1, 7):
+        got = {r["page_id"]: r["text"] for r in html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).collect()}
+        assert got.keys() == want.keys()
+        for i, x in want.items():
+            assert got[i] == x if isinstance(x, str) else got[i] in x, i
+
+
 def test_html_difference(spark):
     frame = "<html><body><div><p>Shared top line</p></div><div><p>{}</p><p>{}</p></div><div><p>Shared bottom line</p></div></body></html>"
     rows = [(i, f"https://h{i % 2}.org/a/{i}", frame.format(prose(30), prose(20))) for i in range(8)] + [(100, None, frame.format("x", "y")), (101, "https://h0.org/a", None), (102, "http://[bad", ""), (100, None, frame.format("x", "y"))]
@@ -461,7 +599,7 @@ def test_toxicity_learns_words_and_stems(spark):
         rows.append((i, " ".join(w)))
         labels.append((i, int(toxic)))
     docs, labels = rows_of(spark, rows + [(None, None), (None, "zzork"), (5000, ""), (5001, "zzork " * 30_000)]), spark.createDataFrame(labels + [(None, 1), (3, None)], "doc_id long, toxic int")
-    net = toxicity.fit(toxicity.training_windows(docs, labels))
+    net = toxicity.fit(toxicity.training_rows(docs, labels))
     got = toxicity.score(docs, net).collect()
     assert len(got) == len(rows) + 4 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
     held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 900 and r["held_out"]]
@@ -498,15 +636,68 @@ def test_toxicity_gradients():
 
 
 def test_toxicity_windows_cover_all_words():
-    for n in [0, 1, 31, 32, 33, 56, 57, 500]:
+    w, s = toxicity.WINDOW, toxicity.STRIDE
+    for n in [0, 1, w - 1, w, w + 1, w + s, w + s + 1, 500]:
         at, text = toxicity.windows_of(np.array([3, n, 2]))
-        assert set(at[text == 1].ravel()) - {-1} == set(range(3, 3 + n)) and (at[text == 1] >= 0).sum(1).max(initial=0) <= toxicity.WINDOW
+        assert set(at[text == 1].ravel()) - {-1} == set(range(3, 3 + n)) and (at[text == 1] >= 0).sum(1).max(initial=0) <= w
+
+
+def slow_pooled(layer, rows, n):
+    """Attention over the first n states of both directions of a layer, a step at a time."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    p, s, states = layer.p, layer.state, []
+    for k, order in ((0, rows), (1, rows[::-1])):
+        h, out = np.zeros(s), []
+        for r in order:
+            x, m = p["w"][k] @ r + p["b"][k][:, 0], p["u"][k] @ h
+            z, g = sigmoid(x[:s] + m[:s]), sigmoid(x[s : 2 * s] + m[s : 2 * s])
+            h = (1 - z) * np.tanh(x[2 * s :] + g * m[2 * s :]) + z * h
+            out.append(h)
+        states.append(out if k == 0 else out[::-1])
+    states = [np.concatenate(x) for x in zip(*states, strict=True)][:n]
+    e = np.array([(p["v"] @ np.tanh(p["a"] @ x + p["c"][:, 0]))[0] for x in states])
+    e = np.exp(e - e.max(initial=0))
+    return sum((x * w for x, w in zip(states, e / e.sum(), strict=True)), np.zeros(2 * s))
+
+
+def slow_score(net, text):
+    words = [w[i : i + toxicity.PIECE] for w in re.findall(rb"[0-9a-z\x80-\xff]+", text.encode().lower()) for i in range(0, len(w), toxicity.PIECE)]
+    own = {h: net.top["words"][k] for k, h in enumerate(net.lexicon.tolist())}
+
+    def vector(w):
+        filled = w.ljust(-(-len(w) // 2) * 2, b"\0")  # words of like length are read together, filled up to an even length
+        chars = slow_pooled(net.char, [net.top["chars"][c] for c in filled], len(w))
+        return np.concatenate([chars, own.get(int(toxicity.words_of([w])[3][0]), np.zeros(toxicity.WORD_IN))])
+
+    best = -np.inf
+    for i in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        rows = [vector(w) for w in words[i : i + toxicity.WINDOW]]
+        padded = rows + [net.top["pad"][0]] * (toxicity.WINDOW - len(rows))
+        best = max(best, net.top["out"] @ slow_pooled(net.word, padded, len(rows)) + net.top["bias"][0])
+    return 1 / (1 + np.exp(-best))
+
+
+def test_toxicity_score_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    net = toxicity.Network(3)
+    net.learn_words(toxicity.words_of([" ".join(VOCAB[:50]).encode()])[3])
+    net.top["words"][:-1] = rng.normal(size=net.top["words"][:-1].shape)
+    net.top["pad"][:] = rng.normal(size=net.top["pad"].shape)
+    docs = [(1, ""), (2, None), (3, "One"), (4, prose(40)), (5, prose(300)), (6, "é" * 50 + " x"), (7, "-- ,, --"), (None, prose(17))]
+    want = {i: slow_score(net, t or "") for i, t in docs}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(rows_of(spark, docs), net).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-4 for i in want)
+    monkeypatch.setattr(toxicity, "BLOCK", 200)
+    assert np.allclose(toxicity.Scorer(net).scores([t or "" for _, t in docs]), list(want.values()), atol=1e-4)
+    for raw in (prose(900).encode(), b"x" * 900, b" " * 900 + b"a b" * 200, b""):
+        at = lambda b: [tuple(toxicity.words_of([b])[3][w[w >= 0]]) for w in toxicity.windows_of(toxicity.words_of([b])[4])[0]]
+        assert [w for p in toxicity.pieces(raw) for w in at(p)] == at(raw)
 
 
 def test_toxicity_without_labels(spark):
     docs = rows_of(spark, [(1, "a b"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert toxicity.fit(toxicity.training_windows(docs, none)) is None
+    assert toxicity.fit(toxicity.training_rows(docs, none)) is None
     assert {r["score"] for r in toxicity.score(docs, None).collect()} == {0.0}
 
 
@@ -523,7 +714,9 @@ def by_sql(sql, **tables):
 MIXED = [(i, f"s{i % 7 if i % 3 else 0}", None if i % 5 else "x", 1, 2) for i in range(700)] + [(1000, None, "n", 1, 2), (None, "s1", None, 1, 2), (None, "s1", "", 1, 2)]
 
 
-def test_mixing(spark):
+@pytest.mark.parametrize("sent", [mixing.SENT, 1])
+def test_mixing(spark, sent, monkeypatch):
+    monkeypatch.setattr(mixing, "SENT", sent)
     docs = spark.createDataFrame(MIXED, "doc_id long, source string, text string, _slot int, _key int").repartition(5)
     out = mixing.schedule(docs)
     want = by_sql(mixing.ORACLE, documents=docs.select("doc_id", "source").toArrow())
@@ -566,6 +759,16 @@ def test_sharding(spark):
         sharding.lookup(spark, 16, 2040)
 
 
+@pytest.mark.parametrize("shards, slots", [(1, 2), (3, 7), (100, 1009)])
+def test_sharding_table(spark, shards, slots):
+    number = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
+    order = [iter([(number(f"shard-{j}:o") + i * (1 + number(f"shard-{j}:s") % (slots - 1))) % slots for i in range(slots)]) for j in range(shards)]
+    want: dict[int, int] = {}
+    for t in range(slots):
+        want[next(c for c in order[t % shards] if c not in want)] = t % shards
+    assert {r["_slot"]: r["_shard"] for r in sharding.lookup(spark, shards, slots).collect()} == want
+
+
 # all: empty tables
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -85,6 +86,29 @@ def test_run(spark, sf, stages):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()) == sorted(rows(stages[5]))
 
 
+def folder_of(spark, sf, path, docs):
+    docs.write.parquet(f"{path}/documents.parquet")
+    table(spark, sf, "labels").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_run_on_an_empty_table(spark, sf, tmp_path):
+    out = corpus_pipeline.run(spark, folder_of(spark, sf, tmp_path, table(spark, sf, "documents").limit(0)))
+    assert out.count() == 0 and {"doc_id", "n_tokens", "ids"} <= set(out.columns)
+
+
+def test_run_with_clashing_columns_nulls_and_long_texts(spark, sf, stages, tmp_path):
+    names = ["ids", "n_tokens", "file", "block", "row", "_text", "_of", "_id", "_gone", "id", "a", "v", "doc", "_slot", "_key", "print", "of"]
+    docs = table(spark, sf, "documents")
+    odd = spark.createDataFrame([(None, None, None, None, None), (10**9, None, "en", None, 0), (10**9 + 1, "", None, "s", None), (10**9 + 2, " ".join(f"word{i % 977}x{i}" for i in range(60_000)), "en", "s", 1)], docs.schema)
+    docs = docs.union(odd)
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(n), F.col("doc_id").cast("string")))
+    out = corpus_pipeline.run(spark, folder_of(spark, sf, tmp_path, docs)).collect()
+    assert out and all(r[n] == f"{n}{r['doc_id']}" for r in out for n in names)
+    assert {r["doc_id"] for r in out if r["doc_id"] < 10**9} <= set(rows(stages[0]))
+
+
 @pytest.mark.parametrize("hot", [1, 4, 12])
 def test_hot_lists(spark, hot, monkeypatch):
     """Families of near copies around several texts, whose lists are nearly all hot."""
