@@ -71,8 +71,10 @@ class EngineContext:
     def file_metadata(self, path: str, file_type: str = "parquet") -> sources.FileMetadata:
         return sources.file_metadata(self.spark, path, file_type)
 
-    def sql(self, text: str) -> EngineFrame:
-        return EngineFrame(self.spark.sql(text))
+    def sql(self, text: str, **variables) -> EngineFrame:
+        """variables: values of the scalar variables (@name) in text."""
+        marked = re.sub(r"('(?:[^'\\]|\\.|'')*'|\"[^\"]*\"|`[^`]*`)|@(\w+)", lambda m: m[1] or f":{m[2]}", text) if variables else text
+        return EngineFrame(self.spark.sql(marked, args=variables) if variables else self.spark.sql(text))
 
     def submit(self, query: EngineFrame | str) -> Job:
         return submit(self.sql(query).df if isinstance(query, str) else query.df)

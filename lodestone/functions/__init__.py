@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What select, filter, aggregate and sort take.
+Expression = Column
+
+
 def col(name: str) -> Column:
     return F.col(name)
 

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestone.functions import as_column
 from lodestone.plans import explained
@@ -20,10 +19,11 @@ JOINS = {"inner": "inner", "left": "left_outer", "right": "right_outer", "full":
 
 @dataclass(frozen=True)
 class Partitioning:
-    """How repartition deals rows out: by the hash of columns, or in turn."""
+    """How repartition deals rows out: by the hash of columns, in turn, or in no order that could be relied on."""
 
     n: int
     columns: tuple = ()
+    ordered: bool = True
 
     @staticmethod
     def hash(n: int, *columns) -> Partitioning:
@@ -35,6 +35,10 @@ class Partitioning:
     def round_robin(n: int) -> Partitioning:
         return Partitioning(n)
 
+    @staticmethod
+    def unknown(n: int) -> Partitioning:
+        return Partitioning(n, (), False)
+
 
 class EngineFrame:
     """A query that is yet to run."""
@@ -89,17 +93,16 @@ class EngineFrame:
         return EngineFrame(kept.where((nulls == 0) & (self.df[column].isNotNull() | (rows == 0))))
 
     def repartition(self, to: Partitioning) -> EngineFrame:
+        if not to.ordered and to.n < self.df.rdd.getNumPartitions():
+            return EngineFrame(self.df.coalesce(to.n))  # nothing need move where partitions may be put together
         return EngineFrame(self.df.repartition(to.n, *to.columns))
 
     def merge(self) -> EngineFrame:
         """All rows in one partition, after the work on them was done in as many as before: for small results only."""
         return EngineFrame(self.df.repartition(1))
 
-    def schema(self) -> T.StructType:
-        return self.df.schema
-
-    def df_schema(self, qualifier: str | None = None) -> DFSchema:
-        """The schema with qualified fields."""
+    def schema(self, qualifier: str | None = None) -> DFSchema:
+        """Qualified fields; Spark's own schema is that of ``df``."""
         return DFSchema.of(self.df.schema, qualifier)
 
     def to_logical_plan(self) -> str:

@@ -100,6 +100,12 @@ def _(t):
     return t.context.read_csv(to, schema=SUPPLIER)
 
 
+@frame_query("sink_arrow_ipc", HOLES)
+def _(t):
+    at = _written(t, "ipc", lambda df, at: sources.write_parquet(sources.to_ipc(df), at), True)
+    return sources.from_ipc(t.context.read_parquet(at).df, SUPPLIER)
+
+
 @frame_query("file_metadata", "SELECT * FROM (VALUES ('n_nationkey', 'int', 1), ('n_name', 'string', 1), ('n_regionkey', 'int', 1)) AS t(name, type, files)")
 def _(t):
     found = t.context.file_metadata(f"{t.sf_dir}/nation.parquet")

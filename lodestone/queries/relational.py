@@ -239,6 +239,12 @@ def _(t):
     return t.customer.select("c_custkey", L.nullif(col("c_nationkey"), lit(3)).alias("k")).not_in("k", t.nation.filter(col("n_regionkey") > 99), "n_nationkey").select_columns("c_custkey")
 
 
+@frame_query("expr_variable", "SELECT p_partkey, 'a@low' AS mark FROM part WHERE p_size BETWEEN 3 AND 7 AND p_brand = 'Brand#3'")
+def _(t):
+    t.context.register_table("lodestone_part_vars", t.part)
+    return t.context.sql("SELECT p_partkey, 'a@low' AS mark FROM lodestone_part_vars WHERE p_size BETWEEN @low AND @high AND p_brand = @brand", low=3, high=7, brand="Brand#3")
+
+
 @frame_query("join_full", "SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_nationkey < 3) AS c FULL JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) AS o ON c_custkey = o_custkey")
 def _(t):
     return t.customer.filter(col("c_nationkey") < 3).join(t.orders.filter(col("o_totalprice") > 400000), ["c_custkey"], ["o_custkey"], "full").select_columns("c_custkey", "o_orderkey")
@@ -272,6 +278,11 @@ def _(t):
     return t.lineitem.repartition(Partitioning.hash(16, "l_suppkey")).aggregate([col("l_suppkey")], [L.count("*").alias("n")])
 
 
+@frame_query("part_unknown", "SELECT c_custkey, c_nationkey FROM customer")
+def _(t):
+    return t.customer.repartition(Partitioning.round_robin(6)).repartition(Partitioning.unknown(2)).select_columns("c_custkey", "c_nationkey")
+
+
 @frame_query("part_round_robin", "SELECT c_custkey, c_name FROM customer")
 def _(t):
     return t.customer.repartition(Partitioning.round_robin(6)).select_columns("c_custkey", "c_name")

@@ -123,6 +123,30 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.json(located(path))
 
 
+def to_ipc(df: DataFrame) -> DataFrame:
+    """(rows, payload): the partitions of df as Arrow IPC streams, one for each batch, so that none holds more than a batch."""
+
+    def run(batches):
+        for b in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as out:
+                out.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["rows", "payload"])
+
+    return df.mapInArrow(run, "rows long, payload binary")
+
+
+def from_ipc(streams: DataFrame, schema: Schema | T.StructType | str) -> DataFrame:
+    """The rows of the Arrow IPC streams in the column payload."""
+
+    def run(batches):
+        for b in batches:
+            for payload in b.column(0):
+                yield from pa.ipc.open_stream(payload.as_buffer())
+
+    return streams.select("payload").mapInArrow(run, _struct(schema))
+
+
 def convert(spark: SparkSession, source: str, target: str, schema: Schema | T.StructType | str, file_format: str = "parquet", compression: str = "snappy", partitions: int | None = None, delimiter: str = "|", file_extension: str = ".tbl") -> None:
     """Delimited text to Parquet or CSV, dealt to a number of files in turn if one is given."""
     df = read_csv(spark, source, False, delimiter, file_extension, schema)

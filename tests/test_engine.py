@@ -28,7 +28,7 @@ def test_csv_and_tbl(context, spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,name,x\n1,one,1.5\n2,,2.5\n")
     (tmp_path / "b.tbl").write_text("1|one|1.5|\n2|two|2.5|\n")
     a = context.read_csv(str(tmp_path))
-    assert [f.dataType.simpleString() for f in a.schema()] == ["int", "string", "double"]
+    assert [f.datatype().spark.simpleString() for f in a.schema().fields] == ["int", "string", "double"]
     assert [tuple(r) for r in a.df.orderBy("id").collect()] == [(1, "one", 1.5), (2, None, 2.5)]
     schema = E.Schema(E.Field("id", "i64"), E.Field("name", "utf8"), E.Field("x", "f64"))
     assert [tuple(r) for r in context.read_tbl(str(tmp_path), schema).df.orderBy("id").collect()] == [(1, "one", 1.5), (2, "two", 2.5)]
@@ -65,8 +65,8 @@ def test_codecs_are_checked_before_the_write(spark, tmp_path):
 def test_stream_schema_and_sizes(context, spark, sf):
     frame = context.read_parquet(f"{sf}/customer.parquet")
     batches = list(frame.stream(40))
-    assert [b.num_rows for b in batches] == [40, 40, 40, 30] and batches[0].schema.names == frame.schema().names
-    assert [(f.qualifier, f.name) for f in frame.df_schema("c").fields][0] == ("c", "c_custkey")
+    assert [b.num_rows for b in batches] == [40, 40, 40, 30] and batches[0].schema.names == frame.df.columns
+    assert [(f.qualifier, f.name) for f in frame.schema("c").fields][0] == ("c", "c_custkey")
     arrays = spark.sql("SELECT explode(array(array(1, 2), null)) AS a")
     assert [r[0] for r in arrays.select(E.check_size(col("a"), 2)).collect()] == [[1, 2], None]
     with pytest.raises(Exception, match="an array of 2 values where 3 are due"):
@@ -86,6 +86,7 @@ def test_frame(context, sf):
     out = joined.filter(col("r_name") == "ASIA", col("n_nationkey") > 0).aggregate([col("r_name")], [L.count("*").alias("n")]).sort(F.asc("r_name")).limit(5)
     assert out.collect()[0].schema.names == ["r_name", "n"]
     assert nation.repartition(Partitioning.hash(3, "n_regionkey")).df.rdd.getNumPartitions() == 3
+    assert nation.repartition(Partitioning.round_robin(4)).repartition(Partitioning.unknown(2)).df.rdd.getNumPartitions() == 2
     assert nation.repartition(Partitioning.round_robin(4)).merge().df.rdd.getNumPartitions() == 1
     assert [r["plan_type"] for r in out.explain(True).df.collect()] == ["parsed", "logical", "physical"]
     assert "Join" in out.to_logical_plan()
