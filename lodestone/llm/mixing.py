@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import table
 
 BLOCK, PERIOD, PREFIX = 16, 1024, 3
+#: Sources up to which the schedule (PERIOD slots for every PERIOD / 4 sources) is sent to every task; with more it is joined by a shuffle.
+SENT = 4096
 
 
 def units(counts: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
@@ -59,12 +61,14 @@ def scheduled(docs: DataFrame, weights: dict[str, int] | None = None, block: int
     sizes = docs.select(_key(source_col).alias("_key"), F.substring(h, 1, PREFIX).alias("_group")).groupBy("_key", "_group").agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.partitionBy("_key").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
     plan = pattern(units(sizes.groupBy("_key").agg(F.sum("_size").alias("n")), weights))
+    few = sizes.select("_key").distinct().limit(SENT + 1).count() <= SENT
+    sent = F.broadcast if few else lambda df: df.hint("merge")
     share = plan.groupBy("_key").agg(F.first("a").alias("_a"), F.first("L").alias("_l"))
-    before = before.join(F.broadcast(share), "_key")  # a row a source
+    before = before.join(sent(share), "_key")  # a row a source
     placed = rows.join(before, ["_key", "_group"]).withColumns({"_block": F.expr(f"(_before + _n - 1) div {block}"), "_place": F.expr(f"(_before + _n - 1) % {block}")})
     placed = placed.withColumns({"_period": F.expr("_block div _a"), "_k": F.expr("_block % _a")})
     slots = plan.select(F.col("_key").alias("_source"), F.col("k").alias("_unit"), F.col("slot").alias("_at"))
-    placed = placed.join(F.broadcast(slots), (F.col("_key") == F.col("_source")) & (F.col("_k") == F.col("_unit")))  # a row a slot of one period
+    placed = placed.join(sent(slots), (F.col("_key") == F.col("_source")) & (F.col("_k") == F.col("_unit")))  # a row a slot of one period
     out = placed.withColumns({"_release": F.expr("_period * _l + (_k * _l) div _a"), "_deadline": F.expr("_period * _l + ((_k + 1) * _l + _a - 1) div _a"), "_slot": F.expr("_period * _l + _at")})
     return out.drop("_key", "_hash", "_group", "_n", "_before", "_a", "_l", "_period", "_k", "_source", "_unit", "_at")
 
