@@ -219,9 +219,9 @@ sql_query("subq_not_exists", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS
 sql_query("subq_in", "SELECT p_partkey FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_discount > 0.09)")
 
 
-@frame_query("subq_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 25)")
+@frame_query("subq_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'R')")
 def _(t):
-    return t.part.not_in("p_partkey", t.lineitem.filter(col("l_quantity") > 25), "l_partkey").select_columns("p_partkey")
+    return t.part.not_in("p_partkey", t.lineitem.filter(col("l_quantity") > 49, col("l_returnflag") == "R"), "l_partkey").select_columns("p_partkey")
 
 
 @frame_query("subq_not_in_with_nulls", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT nullif(l_partkey, 7) FROM lineitem)")
