@@ -155,40 +155,52 @@ LOCAL = "kind int, a long, b long"
 COUNT, LINK = 0, 1
 
 
-def _compared(cell: np.uint64, crossed: bool, rows: list[tuple], cosine: float) -> Iterator[pa.RecordBatch]:
-    """One unit: counts by vector and stars. rows: (chunk side, rep, label, copies, vector bytes)."""
-    by_size: dict[int, list[tuple]] = {}
-    for r in rows:
-        by_size.setdefault(len(r[4]), []).append(r)
+#: Rows of small units that are compared together.
+TOGETHER = 4096
+
+
+def _compared(units: list[tuple[int, bool, list[tuple]]], cosine: float) -> Iterator[pa.RecordBatch]:
+    """Units of (cell, whether two chunks meet, rows): counts by vector and stars. rows: (chunk side, rep, label, copies, vector bytes)."""
+    by_size: dict[int, list[tuple[int, tuple]]] = {}
+    for k, (_, _, rows) in enumerate(units):
+        for r in rows:
+            by_size.setdefault(len(r[4]), []).append((k, r))
     for group in by_size.values():
-        x = np.frombuffer(b"".join([r[4] for r in group]), np.float64).reshape(len(group), -1)
-        unit = _unit(x)
-        side, rep, label, copies = (np.array([r[k] for r in group], np.int64) for k in range(4))
-        first, second = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if crossed else (np.arange(len(group)),) * 2
-        if not len(first) or not len(second):
-            continue
-        product = unit[first] @ unit[second].T
-        near = product >= cosine - 1e-9
-        if not crossed:
-            near = np.triu(near, 1)
-        p, q = np.nonzero(near)
-        i, j = first[p], second[q]
-        sure = product[p, q] > cosine + 1e-9
-        sure[~sure] = (unit[i[~sure]] * unit[j[~sure]]).sum(1) >= cosine
-        i, j = i[sure], j[sure]
-        same = label[i] == label[j]  # cells of two labels meet only if their keys collide
-        i, j = i[same & (rep[i] != rep[j])], j[same & (rep[i] != rep[j])]
+        unit = _unit(np.frombuffer(b"".join([r[4] for _, r in group]), np.float64).reshape(len(group), -1))
+        side, rep, label, copies = (np.array([r[k] for _, r in group], np.int64) for k in range(4))
+        of = np.array([k for k, _ in group])
+        edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            crossed = units[of[lo]][1]
+            first, second = (lo + np.flatnonzero(side[lo:hi] == 0), lo + np.flatnonzero(side[lo:hi] == 1)) if crossed else (np.arange(lo, hi),) * 2
+            if not len(first) or not len(second):
+                continue
+            product = unit[first] @ unit[second].T
+            near = product >= cosine - 1e-9
+            if not crossed:
+                near = np.triu(near, 1)
+            p, q = np.nonzero(near)
+            if len(p):
+                i, j = first[p], second[q]
+                sure = product[p, q] > cosine + 1e-9
+                sure[~sure] = (unit[i[~sure]] * unit[j[~sure]]).sum(1) >= cosine
+                sure &= (label[i] == label[j]) & (rep[i] != rep[j])  # cells of two labels meet only if their keys collide
+                left.append(i[sure])
+                right.append(j[sure])
+        i, j = np.concatenate(left), np.concatenate(right)
         if not len(i):
             continue
         used = np.unique(np.concatenate([i, j]))
         place = np.zeros(len(group), np.int64)
         place[used] = np.arange(len(used))
         keys = cells(unit[used], label[used]).reshape(len(used), TABLES, -1)
+        cell = np.array([c for c, _, _ in units], np.int64).view(np.uint64)[of]
         first_met = np.zeros(len(i), bool)
         for k in range(0, len(i), 20_000):
             x, y = keys[place[i[k : k + 20_000]]], keys[place[j[k : k + 20_000]]]
             met = (x[:, :, :, None] == y[:, :, None, :]).any(3)
-            first_met[k : k + 20_000] = np.where(met, x, np.iinfo(np.uint64).max).min((1, 2)) == cell
+            first_met[k : k + 20_000] = np.where(met, x, np.iinfo(np.uint64).max).min((1, 2)) == cell[i[k : k + 20_000]]
         i, j = i[first_met], j[first_met]
         if not len(i):
             continue
@@ -203,16 +215,22 @@ def _compared(cell: np.uint64, crossed: bool, rows: list[tuple], cosine: float)
 def _units(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by cell, chunk u and chunk v: (cell, u, v, side, rep, label, copies, vector)."""
-        now, held = None, []
+        now, held, ready, n = None, [], [], 0
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if row[:3] != now:
                     if len(held) > 1:
-                        yield from _compared(np.array([now[0]], np.int64).view(np.uint64)[0], now[1] != now[2], held, cosine)
+                        ready.append((now[0], now[1] != now[2], held))
+                        n += len(held)
+                    if n >= TOGETHER:
+                        yield from _compared(ready, cosine)
+                        ready, n = [], 0
                     now, held = row[:3], []
                 held.append(row[3:])
         if len(held) > 1:
-            yield from _compared(np.array([now[0]], np.int64).view(np.uint64)[0], now[1] != now[2], held, cosine)
+            ready.append((now[0], now[1] != now[2], held))
+        if ready:
+            yield from _compared(ready, cosine)
 
     return run
 
