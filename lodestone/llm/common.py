@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,8 +28,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn on every Arrow batch of df, ROWS rows at a time."""
+#: The session's setting for rows of a batch, and its default.
+BATCHES, DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of ROWS rows from now on, unless the session has its own setting: rows are texts, and 10,000 of them fill an executor's memory on both sides of the pipe."""
+    if spark.conf.get(BATCHES) == DEFAULT:
+        spark.conf.set(BATCHES, str(ROWS))
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers are used again, by other stages too, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
+    """fn on every Arrow batch of df, ROWS rows at a time; done at the end of each task drops what fn has kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -38,8 +57,13 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
                     yield out
                 elif out is not None:
                     yield from out
-        pa.default_memory_pool().release_unused()  # workers are used again and would keep it
+                out = None
+        b = None
+        if done is not None:
+            done()
+        release()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

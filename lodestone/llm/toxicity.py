@@ -424,7 +424,7 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
             s = np.round(held[0].scores(texts), 6)
         return batch(_SCORE, b.column(0), b.column(1), s, (s >= 0.5).astype(np.int32))
 
-    return map_rows(docs.select(F.col(id_col).cast("long"), held_out(id_col), F.col(text_col).cast("string")), run, SCORE)
+    return map_rows(docs.select(F.col(id_col).cast("long"), held_out(id_col), F.col(text_col).cast("string")), run, SCORE, held.clear)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
