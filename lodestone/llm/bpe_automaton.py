@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import batch, free_names, map_rows, table, texts_of
 
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Distinct words whose encodings a task remembers; then it forgets all and starts again. No word is left out.
-REMEMBERED = 300_000
-#: Arcs that a task's table holds; then it is emptied and composed anew from where it is walked.
-ARCS = 500_000
+#: Distinct words whose encodings a task remembers at once; of two such generations the older one goes. No word is left out.
+REMEMBERED = 80_000
+#: Arcs that a task's table holds; then it is emptied and composed anew from where it is walked. Prose of four languages needs about 400,000.
+ARCS = 800_000
 END = 256
 
 
@@ -79,84 +79,93 @@ class Automaton:
         for i, x in labels.items():
             if len(x) == 1:
                 self.token[x[0]] = i
-        #: of each token the gadgets that hold it; of two tokens the gadgets that hold the first and may get to see what they wait for when the second follows, as it begins with that one
-        self.holders: dict[int, list[int]] = {}
-        self.meets: dict[tuple[int, int], list[int]] = {}
+        #: of each token the gadgets that hold it; of two tokens (first << 20 | second) the gadgets that hold the first and may get to see what they wait for when the second follows, as it begins with that one
+        holders: dict[int, list[int]] = {}
+        meets: dict[int, list[int]] = {}
         begin: dict[int, int] = {}
         for u, _, w in merges:
             begin.setdefault(w, u)
         for r, (u, v, _) in enumerate(merges):
-            self.holders.setdefault(u, []).append(r)
+            holders.setdefault(u, []).append(r)
             while v is not None:
-                self.meets.setdefault((u, v), []).append(r)
+                meets.setdefault(u << 20 | v, []).append(r)
                 v = begin.get(v)
+        self.holders, self.meets = {k: tuple(v) for k, v in holders.items()}, {k: tuple(v) for k, v in meets.items()}
         self.waits, self.makes = [m[1] for m in merges], [m[2] for m in merges]
         self.clear()
 
     def clear(self) -> None:
-        self.states: list[tuple[tuple[int, int], ...]] = [()]  # (gadget, token) held, from the first to the last
-        self.number: dict[tuple, int] = {(): 0}
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}  # state * 512 + byte -> next state * 512, tokens
+        """Empties the table, but for the state that holds nothing. A state is a map: byte -> (next state, tokens), and at -1 what it holds: gadget << 20 | token, from the first to the last."""
+        self.start: dict = {-1: ()}
+        self.states: dict[tuple, dict] = {(): self.start}
+        self.arcs = 0
 
-    def _pass(self, held: list[tuple[int, int]], out: list[int], x: int, after: int, follower: int | None) -> None:
+    def _pass(self, held: list[int], out: list[int], x: int, after: int, follower: int | None) -> None:
         """Token x, behind gadget ``after`` and all held tokens, goes on as far as it gets; gadgets that would hold it in vain before the follower are left out."""
+        waits = self.waits
+        last = len(waits)
         while True:
-            ranks = self.holders.get(x, ()) if follower is None else self.meets.get((x, follower), ())
-            k = bisect_right(ranks, after)
-            holds = ranks[k] if k < len(ranks) else len(self.waits)
-            if held and held[-1][0] <= holds:
-                gadget, u = held.pop()
-                if self.waits[gadget] == x:
+            ranks = self.holders.get(x, ()) if follower is None else self.meets.get(x << 20 | follower, ())
+            holds = last
+            if ranks and ranks[-1] > after:
+                holds = ranks[0] if ranks[0] > after else ranks[bisect_right(ranks, after)]
+            if held and held[-1] >> 20 <= holds:
+                u = held.pop()
+                gadget = u >> 20
+                if waits[gadget] == x:
                     x, after = self.makes[gadget], gadget
                     continue
-                self._pass(held, out, u, gadget, x)
+                self._pass(held, out, u & 0xFFFFF, gadget, x)
                 if gadget < holds:
                     after = gadget
                     continue
-            if holds < len(self.waits):
-                held.append((holds, x))
+            if holds < last:
+                held.append(holds << 20 | x)
             else:
                 out.append(x)
             return
 
-    def compose(self, at: int) -> tuple[int, tuple[int, ...]]:
-        """The arc of a state and a byte (state * 512 + byte), put into the table."""
-        held, out = list(self.states[at >> 9]), []
-        byte = at & 511
+    def compose(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
+        """The arc of a state and a byte, put into the table."""
+        held, out = list(state[-1]), []
         x = self.token[byte]
         if held:  # the last token learns what follows it
-            gadget, u = held.pop()
-            self._pass(held, out, u, gadget - 1, x)
+            u = held.pop()
+            self._pass(held, out, u & 0xFFFFF, (u >> 20) - 1, x)
         self._pass(held, out, x, -1, None)
         if byte == END:
             out.pop()  # the end itself
-        state = tuple(held)
-        n = self.number.get(state)
-        if n is None:
-            n = self.number[state] = len(self.states)
-            self.states.append(state)
-        arc = self.arcs[at] = (n << 9, tuple(out))
+        holds = tuple(held)
+        to = self.states.get(holds)
+        if to is None:
+            to = self.states[holds] = {-1: holds}
+        arc = state[byte] = (to, tuple(out))
+        self.arcs += 1
         return arc
 
     def complete(self) -> int:
         """Composes all arcs of all states that can be reached; how many states there are."""
         known = [b for b in range(256) if self.token[b] >= 0] + [END]
-        n = 0
-        while n < len(self.states):
+        todo = [self.start]
+        for state in todo:
             for b in known:
-                self.compose((n << 9) + b)
-            n += 1
-        return n
+                n = len(self.states)
+                to = state[b][0] if b in state else self.compose(state, b)[0]
+                if len(self.states) > n:
+                    todo.append(to)
+        return len(self.states)
 
     def encode_word(self, word: bytes) -> list[int]:
         """The ids of a word."""
-        arcs, ids, at = self.arcs, [], 0
+        state, ids = self.start, []
         for b in word:
-            arc = arcs.get(at + b) or self.compose(at + b)
-            at, out = arc
+            try:
+                state, out = state[b]
+            except KeyError:
+                state, out = self.compose(state, b)
             if out:
                 ids += out
-        ids += (arcs.get(at + END) or self.compose(at + END))[1]
+        ids += (state.get(END) or self.compose(state, END))[1]
         return ids
 
     def decode(self, ids) -> bytes:
@@ -172,7 +181,8 @@ class Encoder:
     """Encodes texts, remembering the words it has met."""
 
     def __init__(self, automaton: Automaton):
-        self.a, self.memo = automaton, {}
+        self.a, self.memo, self.older = automaton, {}, {}
+        self.digits = [str(i) for i in range(len(automaton.labels))]
         self.splitter = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(automaton.special, key=len, reverse=True)) + ")") if automaton.special else None
 
     def pieces(self, text: str) -> list[str]:
@@ -184,20 +194,21 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Afterwards memo holds for each word: ids as text, number of ids, bytes that they decode to."""
-        if len(self.memo) + len(words) > REMEMBERED:
-            self.memo.clear()
-        new = [w for w in words if w not in self.memo]
-        for w in new:
-            if w in self.a.special:
-                i = self.a.special[w]
-                self.memo[w] = (str(i), 1, self.a.decode([i]))
-            else:
-                ids = self.a.encode_word(w.encode())
-                self.memo[w] = (",".join(map(str, ids)), len(ids), self.a.decode(ids))
-        if len(self.a.arcs) > ARCS:
+        if len(self.memo) > REMEMBERED:
+            self.older, self.memo = self.memo, {}
+        memo, older, digits, labels = self.memo, self.older, self.digits, self.a.labels
+        for w in words:
+            if w in memo:
+                continue
+            if w in older:
+                memo[w] = older[w]
+                continue
+            ids = [self.a.special[w]] if w in self.a.special else self.a.encode_word(w.encode())
+            memo[w] = (",".join([digits[i] for i in ids]), len(ids), b"".join([labels[i] for i in ids]))
+        if self.a.arcs > ARCS:
             self.a.clear()
 
-    def batches(self, texts: list[str], chars: int = 4_000_000):
+    def batches(self, texts: list[str], chars: int = 1_000_000):
         """Lists of memo entries, one list a text; the words of about ``chars`` characters are learnt together."""
         i = 0
         while i < len(texts):
@@ -219,6 +230,13 @@ def _encoder(path: str, held: list) -> Encoder:
     return held[0]
 
 
+def _forget(held: list) -> None:
+    """Drops what a task has remembered, the table of arcs included."""
+    for e in held:
+        e.a.clear()
+    held.clear()
+
+
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -237,7 +255,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         ids = [np.fromstring(",".join([m[0] for m in e]), np.int32, sep=",") if e else [] for e in _encoder(path, held).batches(texts_of(b.column(1)))]
         return batch(_IDS, b.column(0), ids)
 
-    return map_rows(_source(docs, id_col, text_col), run, "doc_id long, ids array<int>")
+    return map_rows(_source(docs, id_col, text_col), run, "doc_id long, ids array<int>", lambda: _forget(held))
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -263,7 +281,7 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             back.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
         return batch(_DIGEST, b.column(0), n, ids, back)
 
-    return map_rows(_source(docs, id_col, text_col), run, DIGEST)
+    return map_rows(_source(docs, id_col, text_col), run, DIGEST, lambda: _forget(held))
 
 
 def encoded_in_order(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -280,7 +298,7 @@ def encoded_in_order(docs: DataFrame, path: str, text_col: str = "text") -> Data
         columns = [b.column(c) for c in others] + [pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
         return pa.RecordBatch.from_arrays(columns, names=[*others, n_name, ids_name])
 
-    return map_rows(placed, run, schema)
+    return map_rows(placed, run, schema, lambda: _forget(held))
 
 
 def default_path() -> str:
