@@ -8,7 +8,7 @@ rule fails and its score reaches a fixed threshold.
 Defined results: a null text has no words and fails the base rules; an id that is null or repeated, in documents or
 in labels, is scored row by row (a document is trusted if any label of its id is good); with no trusted document at
 all, both multinomials are uniform over what smoothing leaves and the score is that of the raw corpus against it;
-an empty table gives an empty result; other columns are ignored by ``score`` and kept by ``keep``.
+a very long text is hashed as a whole, by itself; a score of exactly the threshold is kept; an empty table gives an empty result; other columns are ignored by ``score`` and kept by ``keep``.
 """
 
 from __future__ import annotations
@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batch, map_rows, table, texts_of
+from lodestone.llm.common import ROWS, batch, map_rows, release, small_batches, table, texts_of
 
 BUCKETS, GRAM = 1 << 16, 4
 #: Least mean log ratio of a text that is kept.
 THRESHOLD = -0.5
+#: Bits of the map of trusted ids that goes to every task: 1 MB.
+MAP = 1 << 23
 #: At most this many characters are hashed at once.
 BLOCK = 1_000_000
 
@@ -52,31 +54,51 @@ def blocks(raw: list[bytes]) -> Iterator[list[int]]:
         yield out
 
 
-def bucket_counts(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, raw, target): how often the texts of all documents, and of those whose id is in good, hold n-grams of each bucket. Each task sums up before the shuffle."""
-    good = good.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_good", F.lit(True)).hint("merge")  # labels grow with the corpus: one plan at every size
-    rows = docs.select(F.col(id_col).alias("_of"), F.col(text_col).cast("string").alias("_text")).join(good, F.col("_of") == F.col("_id"), "left").select("_text", F.coalesce("_good", F.lit(False)).alias("_good"))
-    schema = pa.schema([("bucket", pa.int64()), ("raw", pa.int64()), ("target", pa.int64())])
+def _counted(texts: DataFrame, name: str) -> DataFrame:
+    """(bucket, name): how often texts (one column) hold n-grams of each bucket, a row a task and bucket."""
+    schema = pa.schema([("bucket", pa.int64()), (name, pa.int64())])
+
+    def added(raw: list[bytes], total: np.ndarray) -> None:
+        for part in blocks(raw):
+            # a text is parted from the next so that no n-gram spans both: the strings over the seam are taken off again
+            own = [raw[i] for i in part if len(raw[i]) >= GRAM]
+            if own:
+                h = hashes(b"".join(own))
+                ends = np.cumsum([len(x) for x in own])[:-1]
+                seam = (ends[:, None] - np.arange(1, GRAM)[None, :]).ravel()
+                total += np.bincount(h, minlength=BUCKETS) - np.bincount(h[seam], minlength=BUCKETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            raw, is_good = [t.encode() for t in texts_of(b.column(0))], np.array(b.column(1).to_pylist(), bool)
-            for part in blocks(raw):
-                for g in (0, 1):
-                    # a text is parted from the next so that no n-gram spans both: the strings over the seam are taken off again
-                    own = [raw[i] for i in part if is_good[i] == g and len(raw[i]) >= GRAM]
-                    if not own:
-                        continue
-                    h = hashes(b"".join(own))
-                    ends = np.cumsum([len(x) for x in own])[:-1]
-                    seam = (ends[:, None] - np.arange(1, GRAM)[None, :]).ravel()
-                    total[g] += np.bincount(h, minlength=BUCKETS) - np.bincount(h[seam], minlength=BUCKETS)
-        total[0] += total[1]
-        at = np.flatnonzero(total[0])
-        yield batch(schema, at, total[0][at], total[1][at])
-
-    return rows.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+            for i in range(0, b.num_rows, ROWS):
+                added([t.encode() for t in texts_of(b.column(0).slice(i, ROWS))], total)
+        b = None
+        at = np.flatnonzero(total)
+        yield batch(schema, at, total[at])
+        release()
+
+    small_batches(texts.sparkSession)
+    return texts.mapInArrow(run, f"bucket long, {name} long")
+
+
+def _listed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (_of, _text) of docs whose id is in ids (_id). A bit map of the ids, of MAP bits at any number of them, drops most others before texts are moved."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP))
+    bits = ids.select(place("_id").alias("h")).groupBy(F.expr("h div 64").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("_bits"))
+    maybe = docs.withColumn("_h", place("_of")).join(F.broadcast(bits), F.expr("_h div 64 = _word"))  # at most MAP / 64 rows
+    maybe = maybe.where("shiftright(_bits, cast(_h % 64 as int)) & 1 = 1").select("_of", "_text")
+    # ids are distinct and grow with the corpus: one plan at every size; a semi join would be moved below the map
+    return maybe.join(ids.hint("merge"), F.col("_of") == F.col("_id")).select("_of", "_text")
+
+
+def bucket_counts(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(bucket, raw, target): how often the texts of all documents, and of those whose id is in good, hold n-grams of each bucket. Each task sums up before the shuffle."""
+    rows = docs.select(F.col(id_col).alias("_of"), F.col(text_col).cast("string").alias("_text"))
+    listed = _listed(rows, good.select(F.col(id_col).alias("_id")).where("_id is not null").distinct())
+    zero = F.lit(0).cast("long")
+    both = _counted(rows.select("_text"), "raw").select("bucket", "raw", zero.alias("target")).union(_counted(listed.select("_text"), "target").select("bucket", zero, "target"))
+    return both.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def log_ratios(counts: DataFrame) -> np.ndarray:
