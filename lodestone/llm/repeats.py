@@ -13,8 +13,9 @@ Where very many regions share an anchor (the borders of a passage that a great p
 the other way: each LENGTH-byte string of theirs is a row of its own, sorted by its hash and then its place, and all but
 the first of each are removed; this holds no group in memory and gives the same bytes.
 
-Defined results: a null text counts as empty; texts of fewer than LENGTH bytes are kept whole; ids identify documents:
-rows with one id and equal texts get equal results (neither is earlier), and what is removed at a place of one row is
+Defined results: a null text counts as empty; texts of fewer than LENGTH bytes are kept whole; a very long text is read
+as a whole, by itself; of equal strings that of the smaller id, then place, is the earliest, so that there are no ties;
+ids identify documents: rows with one id and equal texts get equal results (neither is earlier), and what is removed at a place of one row is
 removed there in all rows with its id; rows with a null id are kept whole and compared with nothing; an empty table
 gives an empty result; other columns are ignored.
 """
