@@ -21,6 +21,7 @@ take one state at a time, like others; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from bisect import bisect_right
@@ -36,7 +37,7 @@ from lodestone.llm.common import batch, free_names, map_rows, table, texts_of
 
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Distinct words whose encodings a task remembers at once; of two such generations the older one goes. No word is left out.
-REMEMBERED = 80_000
+REMEMBERED = 120_000
 #: Arcs that a task's table holds; then it is emptied and composed anew from where it is walked. Prose of four languages needs about 400,000.
 ARCS = 800_000
 END = 256
@@ -96,6 +97,8 @@ class Automaton:
 
     def clear(self) -> None:
         """Empties the table, but for the state that holds nothing. A state is a map: byte -> (next state, tokens), and at -1 what it holds: gadget << 20 | token, from the first to the last."""
+        for state in getattr(self, "states", {}).values():
+            state.clear()  # states refer to each other
         self.start: dict = {-1: ()}
         self.states: dict[tuple, dict] = {(): self.start}
         self.arcs = 0
@@ -208,7 +211,7 @@ class Encoder:
         if self.a.arcs > ARCS:
             self.a.clear()
 
-    def batches(self, texts: list[str], chars: int = 1_000_000):
+    def batches(self, texts: list[str], chars: int = 4_000_000):
         """Lists of memo entries, one list a text; the words of about ``chars`` characters are learnt together."""
         i = 0
         while i < len(texts):
@@ -224,8 +227,9 @@ class Encoder:
 
 
 def _encoder(path: str, held: list) -> Encoder:
-    """The one in held, which each task has of its own: what it remembers goes with the task."""
+    """The one in held, which each task has of its own: what it remembers goes with the task. No garbage is collected meanwhile: the many small maps would be gone through again and again."""
     if not held:
+        gc.disable()
         held.append(Encoder(compiled(path)))
     return held[0]
 
@@ -235,6 +239,7 @@ def _forget(held: list) -> None:
     for e in held:
         e.a.clear()
     held.clear()
+    gc.enable()
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
